@@ -1,2 +1,19 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the training-data problems tagged llm, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factweave.llm.canonical import map_to_canonical
+from factweave.session import table
+
+FACTS = "graph_import_ready_generalized"
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    mapped = map_to_canonical(table(spark, directory, FACTS), table(spark, directory, "supplementary_property_aliases"))
+    return mapped.select("row_id", "field_name", "canonical")
+
+
+QUERIES = {"p3_found": p3_found}
+ORACLE: dict[str, str] = {}
