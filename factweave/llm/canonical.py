@@ -47,7 +47,7 @@ def normal_form_sql(spark: SparkSession, column: str) -> str:
     single = [(chr(c), t) for c, t in fold_table().items() if len(t) == 1]
     source += "".join(a for a, _ in single)
     target += "".join(b for _, b in single)
-    units = "|".join(re.escape(k) for k in sorted(alias_index(), key=len, reverse=True) if not re.fullmatch(r"[一-鿿]", k) or k == "开")
+    units = "|".join(re.escape(k) for k in sorted(alias_index(), key=len, reverse=True))
     folded = f"translate(regexp_replace({column}, {_quoted(r'\p{Cf}')}, ''), {_quoted(source)}, {_quoted(target)})"
     bare = f"regexp_replace({folded}, {_quoted(rf'(?iu)\s*(\(\s*(?:{units})\s*\)|[,/]\s*(?:{units}))\s*$')}, '')"
     words = f"trim(regexp_replace({bare}, {_quoted(r'[\s_-]+')}, ' '))"
