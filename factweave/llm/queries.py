@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm.canonical import map_to_canonical
+from factweave.llm.lookalike import consistent_names, unify_text
 from factweave.session import table
 
 FACTS = "graph_import_ready_generalized"
@@ -15,5 +16,14 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return mapped.select("row_id", "field_name", "canonical")
 
 
-QUERIES = {"p3_found": p3_found}
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    return unify_text(table(spark, directory, FACTS), table(spark, directory, "subject_registry")).select("row_id", "field_name")
+
+
+def p6_names(spark: SparkSession, directory: str) -> DataFrame:
+    """The one form of every subject name."""
+    return consistent_names(table(spark, directory, FACTS), table(spark, directory, "subject_registry"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_names": p6_names}
 ORACLE: dict[str, str] = {}
