@@ -18,6 +18,7 @@ from factweave.functions.blank import is_blank
 from factweave.functions.fold import fold_table
 from factweave.functions.units import alias_index
 from factweave.operators.multivalue import split_values
+from factweave.session import cut_lineage, small_rows
 
 UNMATCHED = "(unmatched)"
 
@@ -56,6 +57,11 @@ def normal_form_sql(spark: SparkSession, column: str) -> str:
     return f"lower(regexp_replace({unquoted}, {_quoted(r'[.\s]+$')}, ''))".replace("{", "{{").replace("}", "}}")
 
 
+def _local(df: DataFrame) -> DataFrame:
+    """A table whose size follows the reference list alone, held as literal rows, so that the plans that use it stay small."""
+    return df.sparkSession.createDataFrame(small_rows(df), df.schema)
+
+
 def match_names(texts: DataFrame, reference: DataFrame) -> DataFrame:
     """(raw, canonical, distance, rule) of every distinct text; canonical is '(unmatched)' where the list holds nothing meant.
 
@@ -63,7 +69,7 @@ def match_names(texts: DataFrame, reference: DataFrame) -> DataFrame:
     at the same distance leave the text unmatched. All joins are equality joins on strings.
     """
     spark = texts.sparkSession
-    names = spark.sql(
+    names = _local(spark.sql(
         f"""
         SELECT name, canonical, length(name) AS size, name RLIKE '[一-鿿]' AS han,
                CASE WHEN name RLIKE '[一-鿿]' THEN CASE WHEN length(name) < 4 THEN 1 ELSE 2 END
@@ -74,8 +80,19 @@ def match_names(texts: DataFrame, reference: DataFrame) -> DataFrame:
         WHERE name <> ''
         """,
         reference=reference,
-    )
-    forms = spark.sql(
+    ))
+    segments = _local(spark.sql(
+        """
+        SELECT *, substring(name, begin_ + 1, width) AS segment
+        FROM (SELECT name, canonical, size, han, k, piece,
+                     CAST(floor(piece * size / (k + 1)) AS INT) AS begin_,
+                     CAST(floor((piece + 1) * size / (k + 1)) AS INT) - CAST(floor(piece * size / (k + 1)) AS INT) AS width
+              FROM (SELECT *, explode(sequence(0, k)) AS piece FROM {names} WHERE k > 0))
+        """,
+        names=names,
+    ))
+    sizes = _local(segments.select("size", "k", "piece", "begin_", "width").distinct())
+    forms = cut_lineage(spark.sql(
         f"""
         SELECT raw, form, CASE WHEN form RLIKE '[一-鿿]' THEN
                  regexp_replace(regexp_replace(regexp_replace(form, '^({NEUTRAL_PREFIX})(?=..)', ''), '(?<=..)({NEUTRAL_SUFFIX})$', ''), '性能$', '性')
@@ -83,8 +100,8 @@ def match_names(texts: DataFrame, reference: DataFrame) -> DataFrame:
         FROM (SELECT raw, {normal_form_sql(spark, 'raw')} AS form FROM {{texts}})
         """,
         texts=texts,
-    )
-    found = spark.sql(
+    ))
+    found = cut_lineage(spark.sql(
         f"""
         WITH exact AS (
           SELECT raw, canonical, 0 AS distance, 'equal' AS rule
@@ -98,22 +115,15 @@ def match_names(texts: DataFrame, reference: DataFrame) -> DataFrame:
           SELECT raw, canonical, cut AS distance, 'modifier' AS rule
           FROM tails t JOIN {{names}} n ON t.tail = n.name WHERE n.han),
         loose AS (SELECT r.* FROM rest r LEFT ANTI JOIN headed h ON r.raw = h.raw),
-        segments AS (
-          SELECT name, canonical, size, han, k, piece,
-                 CAST(floor(piece * size / (k + 1)) AS INT) AS begin_,
-                 CAST(floor((piece + 1) * size / (k + 1)) AS INT) - CAST(floor(piece * size / (k + 1)) AS INT) AS width
-          FROM (SELECT *, explode(sequence(0, k)) AS piece FROM {{names}} WHERE k > 0)),
-        cut_names AS (SELECT *, substring(name, begin_ + 1, width) AS segment FROM segments),
-        sizes AS (SELECT DISTINCT size, k, piece, begin_, width FROM segments),
         probes AS (
           SELECT DISTINCT l.raw, l.core, s.size, s.k, s.piece, substring(l.core, s.begin_ + shift + 1, s.width) AS segment
           FROM (SELECT raw, core, explode(sequence(length(core) - 2, length(core) + 2)) AS near FROM loose WHERE length(core) > 1) l
-          JOIN sizes s ON l.near = s.size AND abs(length(l.core) - s.size) <= s.k
+          JOIN {{sizes}} s ON l.near = s.size AND abs(length(l.core) - s.size) <= s.k
           LATERAL VIEW explode(sequence(-s.k, s.k)) x AS shift
           WHERE s.begin_ + shift >= 0 AND s.begin_ + shift + s.width <= length(l.core)),
         candidates AS (
           SELECT DISTINCT p.raw, p.core, n.name, n.canonical, n.size, n.han, n.k
-          FROM probes p JOIN cut_names n ON p.segment = n.segment AND p.size = n.size AND p.k = n.k AND p.piece = n.piece),
+          FROM probes p JOIN {{segments}} n ON p.segment = n.segment AND p.size = n.size AND p.k = n.k AND p.piece = n.piece),
         verified AS (
           SELECT raw, canonical, CASE WHEN swapped THEN 1 ELSE edits END AS distance, 'edits' AS rule
           FROM (SELECT *, edits = 2 AND array_sort(split(core, '')) = array_sort(split(name, '')) AS swapped
@@ -128,15 +138,17 @@ def match_names(texts: DataFrame, reference: DataFrame) -> DataFrame:
         """,
         forms=forms,
         names=names,
-    )
+        segments=segments,
+        sizes=sizes,
+    ))
     return spark.sql(
         """
         SELECT raw, canonical, distance, rule FROM {found}
         UNION ALL
-        SELECT t.raw, '(unmatched)', CAST(NULL AS INT), 'none' FROM {texts} t LEFT ANTI JOIN {found} f ON t.raw = f.raw
+        SELECT t.raw, '(unmatched)', CAST(NULL AS INT), 'none' FROM {forms} t LEFT ANTI JOIN {found} f ON t.raw = f.raw
         """,
         found=found,
-        texts=texts,
+        forms=forms,
     )
 
 
