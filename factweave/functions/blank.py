@@ -18,7 +18,8 @@ def plain(column: Column) -> Column:
 
 def is_blank(column: Column) -> Column:
     """True for null, empty text and placeholder words."""
-    return column.isNull() | F.lower(plain(column)).isin(*BLANK_WORDS)
+    # placeholder words are short, so most values are told by their length; long runs of white space by their first character
+    return column.isNull() | column.rlike(EMPTY) | ((F.length(column) <= 24) & F.lower(plain(column)).isin(*BLANK_WORDS))
 
 
 def filled(column: Column) -> Column:
