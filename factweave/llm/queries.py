@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factweave.llm.canonical import map_to_canonical
+from factweave.llm.fusion import dominant_rows, fuse_records
 from factweave.llm.lookalike import consistent_names, unify_text
+from factweave.llm.splitting import split_oversized
 from factweave.session import table
 
 FACTS = "graph_import_ready_generalized"
 
 
+def p1_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """All pieces of all oversized fields."""
+    return split_oversized(table(spark, directory, "llm_jobs"), table(spark, directory, "job_limits"))
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """A field is a case if the splitter had to cut it."""
+    return p1_pieces(spark, directory).where("pos = 2").select("job_id", "field_name")
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     mapped = map_to_canonical(table(spark, directory, FACTS), table(spark, directory, "supplementary_property_aliases"))
     return mapped.select("row_id", "field_name", "canonical")
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return dominant_rows(table(spark, directory, FACTS), table(spark, directory, "source_trust"))
+
+
+def p4_records(spark: SparkSession, directory: str) -> DataFrame:
+    """The surviving record of every key, its values as JSON."""
+    fused = fuse_records(table(spark, directory, FACTS), table(spark, directory, "source_trust"))
+    return fused.withColumn("values", F.to_json("values"))
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return unify_text(table(spark, directory, FACTS), table(spark, directory, "subject_registry")).select("row_id", "field_name")
 
@@ -25,5 +48,32 @@ def p6_names(spark: SparkSession, directory: str) -> DataFrame:
     return consistent_names(table(spark, directory, FACTS), table(spark, directory, "subject_registry"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_names": p6_names}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
+    "p6_found": p6_found,
+    "p6_names": p6_names,
+}
+ORACLE: dict[str, str] = {
+    "p1_found": """
+        SELECT DISTINCT j.job_id, l.field_name
+        FROM llm_jobs j JOIN job_limits l ON j.kind = l.kind
+        WHERE (l.field_name = 'evidence' AND length(j.evidence) > l.max_chars)
+           OR (l.field_name = 'heading_path' AND length(j.heading_path) > l.max_chars)
+    """,
+    "p4_found": """
+        WITH t AS (
+          SELECT row_id, regexp_extract(lower(graph_fact_key), '([0-9a-f]{40})\\s*$', 1) AS k,
+                 coalesce(extracted_at, TIMESTAMP '0001-01-01') AS at_, coalesce(s.trust, -1) AS trust,
+                 list_sum([CAST(NOT coalesce(lower(trim(v)) IN ('', '-', '--', '—', '/', 'n/a', 'null', '无', '暂缺', '待补'), true) AS INT)
+                           FOR v IN ["章节路径", "来源定位", "所属表格标题", "单位", "条件文本", "方法名称", "证据文本"]]) AS filled
+          FROM graph_import_ready_generalized f
+          LEFT JOIN source_trust s ON s.source_type = replace(lower(trim(f."来源类型")), '-', '_')),
+        g AS (SELECT k, count(*) AS n, max(filled) AS mf, max(at_) AS ma, max(trust) AS mt FROM t WHERE k <> '' GROUP BY k)
+        SELECT min(t.row_id) AS row_id FROM t JOIN g ON t.k = g.k
+        WHERE n >= 2 AND filled = mf AND at_ = ma AND trust = mt GROUP BY t.k
+    """,
+}
