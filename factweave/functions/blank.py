@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Words and marks that stand for a missing value, folded and in lower case.
 BLANK_WORDS = ("", "-", "--", "—", "——", "/", "\\", "n/a", "na", "null", "none", "nan", "无", "暂缺", "待补", "未知", "空", "?")
 
-INVISIBLE = r"[\p{Cf}  -   　\s]"
+EMPTY = r"^[\s\p{Z}\p{Cf}]*$"
 
 
 def plain(column: Column) -> Column:
