@@ -153,9 +153,10 @@ def fuse_records(
         number.alias("source"),
         trusted.alias("trusted"),
         F.coalesce(F.col(f"`{time_col}`"), F.lit(OLDEST).cast("timestamp")).alias("recent"),
-        *[F.when(~is_blank(F.col(f"`{f}`")), F.col(f"`{f}`")).alias(f"f{i}") for i, f in enumerate(fields)],
+        *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)],
     ).where("group_key is not null")
-    complete = sum((F.col(f"f{fields.index(f)}").isNotNull().cast("int") for f in complete_fields), F.lit(0))
+    # one small expression over an array instead of one per field: the generated method stays within what the JVM compiles
+    complete = F.size(F.filter(F.array(*[F.col(f"f{fields.index(f)}") for f in complete_fields]), lambda x: ~is_blank(x)))
     base = (
         rows.select("group_key", "id_", "trusted", "recent", complete.alias("complete"))
         .groupBy("group_key")
@@ -172,7 +173,7 @@ def fuse_records(
         F.expr("shiftleft(1, source)").alias("bit"),
         "recent",
         F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"f{i}").alias("value")) for i in range(len(fields))])).alias("c"),
-    ).select("group_key", "bit", "recent", "c.field", "c.value").where("value is not null")
+    ).select("group_key", "bit", "recent", "c.field", "c.value").where(~is_blank(F.col("value")))
 
     # what is estimated needs no texts: hashes of the values, per field the masks of sources and how many values have each
     masks = (
