@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm.canonical import map_to_canonical
+from factweave.llm.encoding import repair_encoding
 from factweave.llm.fusion import dominant_rows, fuse_records
 from factweave.llm.lookalike import consistent_names, unify_text
 from factweave.llm.splitting import split_oversized
@@ -48,6 +49,15 @@ def p6_names(spark: SparkSession, directory: str) -> DataFrame:
     return consistent_names(table(spark, directory, FACTS), table(spark, directory, "subject_registry"))
 
 
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return repair_encoding(table(spark, directory, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
+    """Damaged documents with their text as it was, as far as it can be had back."""
+    return repair_encoding(table(spark, directory, "documents")).withColumn("channels", F.array_join("channels", ","))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -56,6 +66,8 @@ QUERIES = {
     "p4_records": p4_records,
     "p6_found": p6_found,
     "p6_names": p6_names,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 ORACLE: dict[str, str] = {
     "p1_found": """
