@@ -9,6 +9,8 @@ from factweave.llm.canonical import map_to_canonical
 from factweave.llm.encoding import repair_encoding
 from factweave.llm.fusion import dominant_rows, fuse_records
 from factweave.llm.lookalike import consistent_names, unify_text
+from factweave.llm.mixing import clean_sources, mix_sources
+from factweave.llm.packing import pack_documents
 from factweave.llm.splitting import split_oversized
 from factweave.session import table
 
@@ -49,6 +51,26 @@ def p6_names(spark: SparkSession, directory: str) -> DataFrame:
     return consistent_names(table(spark, directory, FACTS), table(spark, directory, "subject_registry"))
 
 
+def p7_containers(spark: SparkSession, directory: str) -> DataFrame:
+    """The container of every document, for each kind of container."""
+    return pack_documents(table(spark, directory, "documents"), table(spark, directory, "pack_limits"))
+
+
+def _mixture(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    documents = clean_sources(table(spark, directory, "documents"), table(spark, directory, "source_books"))
+    return mix_sources(documents, table(spark, directory, "mix_targets"))
+
+
+def p8_selection(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixture(spark, directory)[0]
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mixture(spark, directory)[1]
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return repair_encoding(table(spark, directory, "documents")).select("doc_id")
 
@@ -66,6 +88,9 @@ QUERIES = {
     "p4_records": p4_records,
     "p6_found": p6_found,
     "p6_names": p6_names,
+    "p7_containers": p7_containers,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
