@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.tokens import TOKENIZER, rank_within, with_tokens
-from factweave.session import small_rows
+from factweave.session import cut_lineage, small_rows
 
 #: Budgets up to this size are fitted exactly; larger ones are brought below it by taking an even share of every length first.
 EXACT = 1 << 16
@@ -91,7 +91,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     """
     spark = documents.sparkSession
     wanted = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in small_rows(targets.select("source", "target_share", "max_repeats")) if r.source}
-    sized = with_tokens(documents.select("doc_id", "text", "source").where(F.col("source").isin(list(wanted))), "text", tokenizer).select("source", "doc_id", "tokens").where("tokens > 0")
+    used = documents.select("doc_id", "text", "source").where(F.col("source").isin(list(wanted)))
+    sized = cut_lineage(with_tokens(used, "text", tokenizer).select("source", "doc_id", "tokens").where("tokens > 0"))
     lengths: dict[str, dict[int, int]] = {}
     for r in small_rows(sized.groupBy("source", "tokens").agg(F.count("*").alias("n")), 2_000_000):
         lengths.setdefault(r.source, {})[r.tokens] = r.n
@@ -103,9 +104,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
         whole, rest = divmod(size, tokens[s]) if size else (0, 0)
         extra = fit_budget(lengths.get(s, {}), rest) if rest and whole < repeats else {}
         plan += [(s, length, whole, extra.get(length, 0)) for length in (lengths.get(s, {}) if size else {})]
-        used = whole * tokens.get(s, 0) + sum(length * n for length, n in extra.items())
+        given = whole * tokens.get(s, 0) + sum(length * n for length, n in extra.items())
         n_documents = sum(lengths[s].values()) if whole else sum(extra.values())
-        report.append((s, share, size, used, repeats, n_documents))
+        report.append((s, share, size, given, repeats, n_documents))
     all_used = sum(r[3] for r in report) or 1
     counted = [(s, share, used / all_used, size, used, repeats, n) for s, share, size, used, repeats, n in report]
     schema = "source string, length int, whole int, extra bigint"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.tokens import TOKENIZER, rank_within, with_tokens
-from factweave.session import small_rows
+from factweave.session import cut_lineage, small_rows
 
 #: Share of the capacity from which on a size is planned by configurations, and the number of groups.
 LARGE, GROUPS = 0.08, 40
@@ -149,7 +149,8 @@ def pack_documents(documents: DataFrame, limits: DataFrame, id_col: str = "doc_i
     placed once. limits: container_kind, capacity_tokens, a small fixed table; capacities below 1 give no container. The driver
     sees the histogram of sizes, at most one entry per size up to the capacity.
     """
-    sized = with_tokens(documents.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), "text_", tokenizer).select("id_", "tokens").where("tokens > 0")
+    # texts are encoded once; what is kept for all kinds of containers is an id and a number
+    sized = cut_lineage(with_tokens(documents.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), "text_", tokenizer).select("id_", "tokens").where("tokens > 0"))
     out = None
     for limit in sorted(small_rows(limits.where("capacity_tokens >= 1").select("container_kind", "capacity_tokens").distinct()), key=lambda r: (r.container_kind, r.capacity_tokens)):
         capacity = limit.capacity_tokens
