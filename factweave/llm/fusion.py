@@ -365,7 +365,7 @@ def fuse_records(
         dominant = (F.col("best.complete") == F.col("complete")) & (F.col("best.recent") == F.col("recent")) & (F.col("best.trusted") == F.col("trusted"))
         records = records.unionByName(
             _spread_base(spread).join(chosen, "group_key", "left").select(
-                F.lower(F.hex("group_key")).alias("group_key"), "n_rows", (-F.col("best.minus_id")).alias("base_row_id"), dominant.alias("dominant"), "complete", "recent", "trusted", "values"
+                F.lower(F.hex("group_key")).alias("group_key"), "n_rows", (-F.col("best.minus_id")).alias("base_row_id"), dominant.alias("dominant"), "complete", "recent", "trusted", F.coalesce("values", F.create_map().cast("map<string,string>")).alias("values")
             )
         )
     return records.withColumn("recent", F.nullif("recent", F.lit(OLDEST).cast("timestamp")))
