@@ -90,7 +90,9 @@ def carried_values(block: str) -> list[tuple[int, str, str, str, bool]]:
     last one named; a named owner replaces it."""
     out, owner = [], ""
     for number, clause in enumerate(re.split(r"[。；;！？\n]+", block), 1):
-        named = None if _PRONOUN.match(clause.strip()) else _OWNER.search(clause)
+        pronoun = _PRONOUN.match(clause.strip())
+        clause = clause.strip()[pronoun.end() :] if pronoun else clause
+        named = None if pronoun else _OWNER.search(clause)
         if named:
             owner = named[1]
         for m in _STATED.finditer(clause):
