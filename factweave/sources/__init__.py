@@ -1,0 +1 @@
+"""Readers and writers of books, fact files, manifests and reports."""
