@@ -203,6 +203,17 @@ def _has_tokenizer():
     return os.path.exists(TOKENIZER)
 
 
+@pytest.mark.skipif(not _has_tokenizer(), reason="tokenizer files are not on this machine")
+def test_sizes_are_those_of_the_whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    from factweave.llm.tokens import count_tokens
+
+    whole = Tokenizer.from_file(TOKENIZER.replace(".tiktoken", ".json"))
+    texts = ["", "Hello  world's\n\n  end ", "密度为1.5 g/cm³。 Образец\t\t12", "a" * 500, None, "  \n x"]
+    assert count_tokens(texts) == [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
 @pytest.mark.skipif(not _has_tokenizer(), reason="tokenizer files are not on this machine")
 def test_pack_and_mix(spark):
     docs = spark.createDataFrame([(i, "word " * (i * 7 % 90), "ab"[i % 2], "x") for i in range(200)] + [(900, None, "a", "x"), (901, "", "b", "x"), (902, "long " * 3000, "a", "x")], "doc_id bigint, text string, source string, tokens string")
