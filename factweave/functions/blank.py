@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 BLANK_WORDS = ("", "-", "--", "—", "——", "/", "\\", "n/a", "na", "null", "none", "nan", "无", "暂缺", "待补", "未知", "空", "?")
 
 EMPTY = r"^[\s\p{Z}\p{Cf}]*$"
+RIM = r"^[\s\p{Z}\p{Cf}]|[\s\p{Z}\p{Cf}]$|\p{Cf}"
 
 
 def plain(column: Column) -> Column:
@@ -18,8 +19,9 @@ def plain(column: Column) -> Column:
 
 def is_blank(column: Column) -> Column:
     """True for null, empty text and placeholder words."""
-    # placeholder words are short, so most values are told by their length; long runs of white space by their first character
-    return column.isNull() | column.rlike(EMPTY) | ((F.length(column) <= 24) & F.lower(plain(column)).isin(*BLANK_WORDS))
+    # most values are told by one look-up; only those with white space or unseen characters at a rim are brought to their plain form
+    rim = column.rlike(RIM) & (F.length(column) <= 24) & F.lower(plain(column)).isin(*BLANK_WORDS)
+    return column.isNull() | F.lower(column).isin(*BLANK_WORDS) | rim | ((F.length(column) > 24) & column.rlike(EMPTY))
 
 
 def filled(column: Column) -> Column:
