@@ -85,10 +85,10 @@ def _is_latin(codes: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=65536)
-def _unit_tail(text: str) -> bool:
-    """True if a text behind a name or number is a unit, alone or in brackets."""
+def _unit_tail(text: str, whole: frozenset[str]) -> bool:
+    """True if a text behind a name or number is a unit; a name of the list, written as it stands there ("Cp"), is none."""
     bare = text.strip()
-    return bool(bare) and resolve_unit(bare) is not None
+    return bool(bare) and bare not in whole and resolve_unit(bare) is not None
 
 
 def divided_names(names: Iterable[str]) -> list[tuple[str, str, str]]:
@@ -101,10 +101,10 @@ def divided_names(names: Iterable[str]) -> list[tuple[str, str, str]]:
     return parts
 
 
-def split_batch(strings: pa.Array, names: list[tuple[str, str, str]]) -> tuple[np.ndarray, pa.Array]:
+def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: frozenset[str] = frozenset()) -> tuple[np.ndarray, pa.Array]:
     """(ordinal of the parent, value) of every value in an Arrow string array, in order; values are trimmed and unquoted.
 
-    Null and empty strings give no value.
+    names: those of the list that hold a separator, cut there; whole: all of them. Null and empty strings give no value.
     """
     strings = strings.cast(pa.large_string()) if not pa.types.is_large_string(strings.type) else strings
     filled = pc.fill_null(strings, "")
@@ -227,7 +227,7 @@ def split_batch(strings: pa.Array, names: list[tuple[str, str, str]]) -> tuple[n
         heads = at[first_of]
         ends = np.searchsorted(segment, segment[heads], side="right")
         tail_segments = [
-            segment[h] for h, e in zip(heads, ends, strict=True) if _unit_tail("".join(map(chr, codes[h + 1 : e])))
+            segment[h] for h, e in zip(heads, ends, strict=True) if _unit_tail("".join(map(chr, codes[h + 1 : e])), whole)
         ]
         # "N/A" and the like
         begins = np.searchsorted(segment, segment[heads], side="left")
@@ -287,7 +287,8 @@ def split_values(facts: DataFrame, names: Iterable[str], id_col: str = "row_id",
     stay whole; empty pieces take no position. Null, empty and placeholder fields give no row. Repeated ids give repeated rows.
     names must be a small list (it is shipped with the tasks). No shuffle: one pass over the two columns read.
     """
-    cut_names = divided_names(names)
+    whole = frozenset(names)
+    cut_names = divided_names(whole)
     fields = tuple(fields)
     id_type = facts.schema[id_col].dataType.simpleString()
 
@@ -295,7 +296,7 @@ def split_values(facts: DataFrame, names: Iterable[str], id_col: str = "row_id",
         for batch in batches:
             for index, field in enumerate(fields, 1):
                 column = batch.column(index)
-                parents, values = split_batch(column, cut_names)
+                parents, values = split_batch(column, cut_names, whole)
                 if not keep_single and len(parents):
                     several = np.bincount(parents, minlength=batch.num_rows)[parents] > 1
                     parents, values = parents[several], values.filter(pa.array(several))

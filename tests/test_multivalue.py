@@ -11,7 +11,7 @@ CUT = divided_names(NAMES)
 
 
 def values(text):
-    parents, found = split_batch(pa.array([text]), CUT)
+    parents, found = split_batch(pa.array([text]), CUT, frozenset(NAMES))
     return found.to_pylist()
 
 
@@ -35,6 +35,7 @@ def test_one_value():
 def test_names_inside_lists():
     assert values("气味,光泽、色度") == ["气味", "光泽、色度"]
     assert values("气味/耐酸性/耐碱性") == ["气味", "耐酸性/耐碱性"]
+    assert values("熔点,Cp") == ["熔点", "Cp"] and values("光泽、色度 / Cp") == ["光泽、色度", "Cp"] and values("黏度, cP") == ["黏度, cP"]
 
 
 def test_nulls_empty_long():
