@@ -19,19 +19,24 @@ from factweave.llm.tokens import TOKENIZER, rank_within, with_tokens
 from factweave.session import cut_lineage, small_rows
 
 #: Share of the capacity from which on a size is planned by configurations, and the number of groups.
-LARGE, GROUPS = 0.08, 40
+LARGE, GROUPS = 0.08, 400
 
 Run = tuple[int, int, int, int]
 
 
 def _best_configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """How many of each size to put together so that as little as possible stays free, within what is left: a bounded knapsack."""
+    """How many of each size to put together: the largest that is left, and with it what leaves as little as possible free, by a bounded
+    knapsack over the counts that are left. Taking the largest first keeps none of them for the end, when nothing fits beside it."""
+    largest = next(i for i, n in enumerate(left) if n)
+    capacity -= sizes[largest]
     reach = np.zeros(capacity + 1, dtype=bool)
     reach[0] = True
     layers = []
-    for size, n in zip(sizes, left, strict=True):
-        layers.append(reach.copy())
-        for _ in range(min(n, capacity // size)):
+    for i, (size, n) in enumerate(zip(sizes, left, strict=True)):
+        layers.append(reach)
+        if reach[capacity]:
+            continue
+        for _ in range(min(n - (i == largest), capacity // size)):
             moved = np.zeros_like(reach)
             moved[size:] = reach[: capacity + 1 - size]
             grown = reach | moved
@@ -44,6 +49,7 @@ def _best_configuration(sizes: list[int], left: list[int], capacity: int) -> lis
         while not layers[i][at]:
             at -= sizes[i]
             taken[i] += 1
+    taken[largest] += 1
     return taken
 
 
