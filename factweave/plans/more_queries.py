@@ -215,3 +215,180 @@ def release_counters(spark: SparkSession, d: str) -> DataFrame:
     rows = facts(spark, d, "fact_id", "source", "evidence")
     source = F.coalesce(F.replace(F.lower(F.trim("source")), F.lit("-"), F.lit("_")), F.lit(""))
     return rows.groupBy(source.alias("source")).agg(F.count("*").alias("n"), F.count_distinct("fact_id").alias("n_ids"), F.count_if(is_blank(F.col("evidence"))).alias("n_no_evidence"))
+
+
+# --- lines in order ------------------------------------------------------------------------------------------------------
+
+_LINES = "SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text <> ''").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
+
+
+@query(
+    f"""
+    SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s') THEN trim(ltrim(line, '#')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS heading
+    FROM ({_LINES}) WHERE line <> ''
+    """
+)
+def heading_carried(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with the heading above it: a value carried forward inside one document."""
+    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    title = F.when(F.col("line").rlike(r"^#{1,6}\s"), F.trim(F.ltrim(F.col("line"), F.lit("#"))))
+    return _lines(spark, d).where("line <> ''").select("doc_id", "line_no", F.last(title, ignorenulls=True).over(order).alias("heading"))
+
+
+@query(
+    rf"""
+    WITH l AS (SELECT *, regexp_matches(line, '^\s*\|.*\|\s*$') AS p, regexp_matches(line, '^[\s|:-]+$') AS s FROM ({_LINES})),
+    m AS (SELECT *, CASE WHEN p AND NOT coalesce(lag(p) OVER w, false) THEN 1 ELSE 0 END AS begins FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY line_no) AS group_no FROM m)
+    SELECT doc_id, group_no::BIGINT AS group_no, min(line_no) AS first_line, max(line_no) AS last_line, count(*) FILTER (WHERE NOT s) AS n_rows FROM g WHERE p GROUP BY doc_id, group_no
+    """
+)
+def pipe_line_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of lines that begin and end with a bar, separator rows not counted: gaps and islands inside one document."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = _lines(spark, d).withColumns({"p": F.col("line").rlike(r"(?s)^\s*\|.*\|\s*$"), "s": F.col("line").rlike(r"^[\s|:-]+$")})
+    marked = rows.withColumn("begins", (F.col("p") & ~F.coalesce(F.lag("p").over(w), F.lit(False))).cast("int"))
+    grouped = marked.withColumn("group_no", F.sum("begins").over(w)).where("p")
+    return grouped.groupBy("doc_id", "group_no").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count_if(~F.col("s")).alias("n_rows"))
+
+
+@query(
+    f"""
+    WITH l AS (SELECT *, regexp_matches(line, '^(其|该材料|它)') AS deictic, regexp_extract(line, '([A-Z]{{2}}-[0-9]+[A-Z]?)', 1) AS code FROM ({_LINES}) WHERE line <> ''),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l)
+    SELECT a.doc_id, a.line_no, max(b.line_no) AS found_line FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 4 AND a.k - 1 AND b.code <> '' WHERE NOT a.deictic AND a.code = '' GROUP BY a.doc_id, a.line_no
+    """
+)
+def nearest_antecedent(spark: SparkSession, d: str) -> DataFrame:
+    """For lines that name no code, the nearest of the four lines before them that does: a bounded frame, no self-join."""
+    rows = _lines(spark, d).where("line <> ''").withColumns({"deictic": F.col("line").rlike("^(其|该材料|它)"), "code": F.regexp_extract("line", "([A-Z]{2}-[0-9]+[A-Z]?)", 1)})
+    frame = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-4, -1)
+    found = F.max(F.when(F.col("code") != "", F.col("line_no"))).over(frame)
+    return rows.withColumn("found_line", found).where("not deictic and code = '' and found_line is not null").select("doc_id", "line_no", "found_line")
+
+
+@query(
+    """
+    SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:步骤|第)\\s*(\\d{1,2})', 1), lambda x: x::INT)))::VARCHAR AS labels FROM documents WHERE text <> ''
+    """
+)
+def step_labels(spark: SparkSession, d: str) -> DataFrame:
+    labels = P.step_labels(F.col("text"))
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.concat(F.lit("["), F.array_join(labels, ", "), F.lit("]")).alias("labels"))
+
+
+# --- joins and sets ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """
+    SELECT b.book_id, b.title, count(*) AS n_facts FROM graph_import_ready_generalized f JOIN source_books b ON f."书名" = b.title
+    WHERE NOT EXISTS (SELECT 1 FROM source_books x WHERE x.book_id = b.book_id AND x.source = 'web_page') GROUP BY ALL
+    """
+)
+def book_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Books matched by title, those of excluded kinds left out; facts are counted per title before the join."""
+    books = table(spark, d, "source_books")
+    counted = facts(spark, d, "书名").groupBy(F.col("书名").alias("title")).agg(F.count("*").alias("n"))
+    kept = books.join(books.where("source = 'web_page'").select("book_id"), "book_id", "left_anti")
+    return counted.join(kept, "title").groupBy("book_id", "title").agg(F.sum("n").alias("n_facts"))
+
+
+@query(
+    """
+    SELECT j.job_id, j.attempt, coalesce(l.max_chars, -1) AS max_chars, CASE WHEN l.kind IS NULL THEN 'no_limit' WHEN length(j.evidence) > l.max_chars THEN 'over' ELSE 'within' END AS state
+    FROM llm_jobs j LEFT JOIN job_limits l ON l.kind = j.kind AND l.field_name = 'evidence'
+    """
+)
+def job_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every job with its limit; a missing one is filled in and told apart."""
+    limits = table(spark, d, "job_limits").where("field_name = 'evidence'").select("kind", "max_chars", F.lit(True).alias("known"))
+    rows = table(spark, d, "llm_jobs").join(F.broadcast(limits), "kind", "left")
+    state = F.when(F.col("known").isNull(), "no_limit").when(F.length("evidence") > F.col("max_chars"), "over").otherwise("within")
+    return rows.select("job_id", "attempt", F.coalesce("max_chars", F.lit(-1)).alias("max_chars"), state.alias("state"))
+
+
+@query("SELECT job_id, max(attempt) AS attempt, count(*) AS n_deliveries FROM llm_jobs GROUP BY job_id")
+def job_attempts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "llm_jobs").groupBy("job_id").agg(F.max("attempt").alias("attempt"), F.count("*").alias("n_deliveries"))
+
+
+@query(
+    """
+    SELECT row_id, left("证据文本", 20) AS preview, length("证据文本") > 20 AS truncated FROM graph_import_ready_generalized WHERE "证据文本" IS NOT NULL
+    """
+)
+def truncated_evidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = facts(spark, d, "row_id", "evidence").where("evidence is not null")
+    return rows.select("row_id", F.substring("evidence", 1, 20).alias("preview"), (F.length("evidence") > 20).alias("truncated"))
+
+
+@query(
+    f"""
+    WITH r AS (SELECT row_id, list_filter([CASE WHEN coalesce(lower(trim("单位", ' ')), '') IN {BLANK} THEN 'unit' END, CASE WHEN coalesce(lower(trim("条件文本", ' ')), '') IN {BLANK} THEN 'condition' END,
+                      CASE WHEN coalesce(lower(trim("方法名称", ' ')), '') IN {BLANK} THEN 'method' END], lambda x: x IS NOT NULL) AS found FROM graph_import_ready_generalized)
+    SELECT array_to_string(list_sort(list_intersect(found, ['unit'])), '+') AS hard, array_to_string(list_sort(list_filter(found, lambda x: x <> 'unit')), '+') AS soft, count(*) AS n FROM r GROUP BY ALL
+    """
+)
+def reason_algebra(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons cut into hard and soft ones by set operations on arrays."""
+    from factweave.functions.blank import is_blank
+    from factweave.operators.facts import reasons
+
+    rows = facts(spark, d, "unit", "condition", "method")
+    found = rows.select(reasons({"unit": is_blank(F.col("unit")), "condition": is_blank(F.col("condition")), "method": is_blank(F.col("method"))}).alias("found"))
+    hard_list = F.array(F.lit("unit"))
+    hard = F.array_join(F.array_sort(F.array_intersect("found", hard_list)), "+")
+    soft = F.array_join(F.array_sort(F.array_except("found", hard_list)), "+")
+    return found.groupBy(hard.alias("hard"), soft.alias("soft")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+    WITH g AS (SELECT fact_id, 1 AS p, row_id FROM graph_import_ready_generalized WHERE "数值类型" = '标量' UNION ALL SELECT fact_id, 2, row_id FROM graph_import_ready_generalized WHERE "数值类型" <> '标量'),
+    s AS (SELECT DISTINCT fact_id FROM graph_import_ready_generalized WHERE "来源类型" = 'table_conditional_record')
+    SELECT fact_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY p, row_id) AS n FROM g WHERE fact_id IS NOT NULL AND fact_id NOT IN (SELECT fact_id FROM s WHERE fact_id IS NOT NULL)) WHERE n = 1
+    """
+)
+def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Two pools united by priority, less what the strict set holds."""
+    rows = facts(spark, d, "fact_id", "row_id", "source", "数值类型").where("fact_id is not null")
+    strict = rows.where("source = 'table_conditional_record'").select("fact_id").distinct()
+    first, second = rows.where(F.col("数值类型") == "标量").withColumn("p", F.lit(1)), rows.where(F.col("数值类型") != "标量").withColumn("p", F.lit(2))
+    pool = first.unionByName(second).join(strict, "fact_id", "left_anti")
+    return pool.groupBy("fact_id").agg(F.min_by("row_id", F.struct("p", "row_id")).alias("row_id"))
+
+
+@query(
+    """
+    SELECT p AS dimension, CAST(sum(v) AS BIGINT) AS tokens, count(*) AS n FROM (SELECT event_type AS p, coalesce(nullif(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0), 0) AS v FROM events) GROUP BY p ORDER BY tokens DESC, dimension LIMIT 3 OFFSET 1
+    """
+)
+def usage_page(spark: SparkSession, d: str) -> DataFrame:
+    """One page of a rollup in a total order."""
+    value = F.coalesce(F.nullif(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)), F.lit(0))
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("dimension")).agg(F.sum(value).alias("tokens"), F.count("*").alias("n"))
+    return rows.orderBy(F.desc("tokens"), "dimension").offset(1).limit(3)
+
+
+@query(
+    r"""
+    WITH v AS (SELECT row_id, coalesce("尾实体/取值文本", '') AS t FROM graph_import_ready_generalized),
+    p AS (SELECT row_id, t, regexp_extract_all(t, '([-+]?\d+(?:\.\d+)?)\s*%', 1) AS pct, regexp_extract_all(t, '([-+]?\d+(?:\.\d+)?)\s*(?:~|至|到)\s*[-+]?\d+(?:\.\d+)?', 1) AS lo, regexp_extract_all(t, '[-+]?\d+(?:\.\d+)?\s*(?:~|至|到)\s*([-+]?\d+(?:\.\d+)?)', 1) AS hi FROM v)
+    SELECT row_id, CASE WHEN len(pct) > 0 THEN pct[-1] END AS percent, CASE WHEN len(pct) = 0 AND len(lo) > 0 THEN lo[-1] END AS lower, CASE WHEN len(pct) = 0 AND len(hi) > 0 THEN hi[-1] END AS upper FROM p
+    """
+)
+def last_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The last percentage of a value, else the ends of its last range."""
+    t = F.coalesce("value_text", F.lit(""))
+    every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    number = r"[-+]?\d+(?:\.\d+)?"
+    percent, low, high = every(rf"({number})\s*%"), every(rf"({number})\s*(?:~|至|到)\s*{number}"), every(rf"{number}\s*(?:~|至|到)\s*({number})")
+    last = lambda c: F.try_element_at(c, F.lit(-1))
+    none = F.size(percent) == 0
+    return facts(spark, d, "row_id", "value_text").select("row_id", last(percent).alias("percent"), F.when(none, last(low)).alias("lower"), F.when(none, last(high)).alias("upper"))
