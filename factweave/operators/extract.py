@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import clauses
@@ -118,3 +118,30 @@ def abbreviations(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     pattern = r"([\p{L}][\p{L}\d \-]{1,30}?)\s*[（(]([A-Z][A-Z0-9\-]{1,11})[)）]"
     pairs = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(text_col, F.lit(pattern), F.lit(2)).alias("short"))
     return documents.select(id_col, F.explode(F.array_distinct(pairs)).alias("p")).select(id_col, F.trim("p.name").alias("name"), F.col("p.short").alias("short"))
+
+
+# Conditions a clause can state, with the unit of the number that is caught.
+CONDITIONS = (
+    ("湿度", r"在(\d+(?:\.\d+)?)%湿度下", "%"),
+    ("温度", r"在(-?\d+(?:\.\d+)?) ?℃", "℃"),
+    ("保温时间", r"保温(\d+(?:\.\d+)?) ?min", "min"),
+    ("升温速率", r"升温速率 ?(\d+(?:\.\d+)?) ?K/min", "K/min"),
+)
+
+
+def conditions(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ord, name, value, unit of the conditions of every clause, each distinct one once."""
+
+    def caught(name: str, pattern: str, unit: str) -> Column:
+        return F.transform(F.regexp_extract_all("clause", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(name).alias("name"), x.alias("value"), F.lit(unit).alias("unit")))
+
+    found = F.flatten(F.array(*[caught(*c) for c in CONDITIONS]))
+    rows = clause_rows(documents, id_col, text_col).select(id_col, "ord", F.explode(F.array_distinct(found)).alias("c"))
+    return rows.select(id_col, "ord", "c.name", F.col("c.value").cast("double").alias("value"), "c.unit")
+
+
+def with_conditions(values: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Values with the conditions of their clause as one text, sorted by name."""
+    text = F.concat("name", F.lit("="), F.col("value").cast("string"), F.lit(" "), "unit")
+    packed = found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(text)), "；").alias("condition_text"))
+    return values.join(packed, keys, "left")

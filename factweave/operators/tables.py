@@ -99,3 +99,26 @@ def best_conditions(candidates: DataFrame, record_keys: list[str]) -> DataFrame:
         "place_", F.row_number().over(slot.orderBy(F.desc("confidence"), "ord"))
     )
     return judged.where("conflict or place_ = 1").drop("top_", "place_")
+
+
+def header_rows(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, table_no, r, explicit, numeric_ratio, is_header: rows with header cells are headers; without any, the first row is one if it
+    is less numeric than the rows below it or made of short texts."""
+    filled = F.col("cell") != ""
+    rows = cells.groupBy(id_col, "table_no", "r").agg(
+        F.bool_or(F.col("header") & filled).alias("explicit"),
+        F.coalesce(F.round(F.avg(F.when(filled, numeric_like(F.col("cell")).cast("int"))), 6), F.lit(0.0)).alias("numeric_ratio"),
+        F.coalesce(F.avg(F.when(filled, (F.length("cell") <= 30).cast("int"))), F.lit(0.0)).alias("short_ratio"),
+    )
+    table = Window.partitionBy(id_col, "table_no")
+    later = F.avg(F.when((F.col("r") >= 1) & (F.col("r") <= 5), F.col("numeric_ratio"))).over(table)
+    any_explicit = F.bool_or("explicit").over(table)
+    guess = (F.col("r") == 0) & (F.col("numeric_ratio") < 0.5) & ((F.coalesce(later, F.lit(0.0)) > F.col("numeric_ratio") + 0.2) | (F.col("short_ratio") >= 0.8))
+    return rows.withColumn("is_header", F.when(any_explicit, F.col("explicit")).otherwise(guess)).drop("short_ratio")
+
+
+def row_header_columns(features: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, table_no, n_columns: how many leading columns (three at most) name their rows: little numbers, mostly distinct."""
+    fits = (F.coalesce("numeric_ratio", F.lit(0.0)) <= 0.35) & (F.col("unique_ratio") >= 0.4)
+    first_bad = features.groupBy(id_col, "table_no").agg(F.min(F.when(~fits, F.col("c"))).alias("bad"), F.max("c").alias("last"))
+    return first_bad.select(id_col, "table_no", F.least(F.coalesce("bad", F.lit(1)), F.lit(3), F.col("last") + 1).alias("n_columns"))

@@ -14,7 +14,8 @@ from factweave.operators import documents as D
 from factweave.operators import profile as P
 from factweave.operators import relational as R
 from factweave.operators import tables as G
-from factweave.plans.core_queries import BLANK, SOURCE, facts, query
+from factweave.operators import extract as X
+from factweave.plans.core_queries import BLANK, CLAUSES, SOURCE, facts, query
 from factweave.session import table
 from factweave.sources import contract
 
@@ -392,3 +393,29 @@ def last_numbers(spark: SparkSession, d: str) -> DataFrame:
     last = lambda c: F.try_element_at(c, F.lit(-1))
     none = F.size(percent) == 0
     return facts(spark, d, "row_id", "value_text").select("row_id", last(percent).alias("percent"), F.when(none, last(low)).alias("lower"), F.when(none, last(high)).alias("upper"))
+
+
+@query()
+def table_header_rows(spark: SparkSession, d: str) -> DataFrame:
+    return G.header_rows(D.cells(table(spark, d, "documents")))
+
+
+@query()
+def table_row_headers(spark: SparkSession, d: str) -> DataFrame:
+    return G.row_header_columns(G.axis_features(D.cells(table(spark, d, "documents"))))
+
+
+_CONDITION_SQL = " UNION ALL ".join(
+    f"SELECT DISTINCT doc_id, ord, '{n}' AS name, unnest(regexp_extract_all(clause, '{p}', 1))::DOUBLE AS value, '{u}' AS unit FROM c" for n, p, u in X.CONDITIONS
+)
+
+
+@query(f"WITH c AS (SELECT doc_id, generate_subscripts(l, 1) AS ord, unnest(l) AS clause FROM (SELECT doc_id, {CLAUSES} AS l FROM documents)) {_CONDITION_SQL}")
+def text_conditions(spark: SparkSession, d: str) -> DataFrame:
+    return X.conditions(table(spark, d, "documents"))
+
+
+@query()
+def conditioned_values(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return X.with_conditions(X.bound_values(documents).drop("value"), X.conditions(documents), ["doc_id", "ord"])

@@ -44,3 +44,17 @@ def test_alignment(spark):
     labels = spark.createDataFrame([("密度（g/cm3）",), ("平均密度",), ("密度熔点",), ("无关",)], "label string")
     out = {r.label: (r.canonical_name, r.status) for r in A.decide(A.candidates(labels, ontology)).collect()}
     assert out["密度（g/cm3）"] == ("密度", "exact") and out["平均密度"] == ("密度", "weak") and out["密度熔点"][1] == "ambiguous" and "无关" not in out
+
+
+def test_headers_and_conditions(spark):
+    from factweave.operators import documents as D
+    from factweave.operators import extract as X
+    from factweave.operators import tables as G
+
+    html = "<table><tr><td>名</td><td>密度</td></tr><tr><td>甲</td><td>1.5</td></tr><tr><td>乙</td><td>1.7</td></tr></table>"
+    docs = spark.createDataFrame([(1, html), (2, "在41%湿度下，在80 ℃保温5 min，在80 ℃放置。MP-1的密度为2"), (3, None)], "doc_id bigint, text string")
+    assert [(r.r, r.is_header) for r in G.header_rows(D.cells(docs)).orderBy("r").collect()] == [(0, True), (1, False), (2, False)]
+    assert G.row_header_columns(G.axis_features(D.cells(docs).withColumn("header", F.col("r") == 0))).first().n_columns == 1
+    found = sorted((r.name, r.value) for r in X.conditions(docs).collect())
+    assert found == [("保温时间", 5.0), ("温度", 80.0), ("湿度", 41.0)]
+    assert X.with_conditions(X.bound_values(docs), X.conditions(docs), ["doc_id", "ord"]).first().condition_text is None
