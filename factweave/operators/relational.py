@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], bucket: str = "month") -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time; nulls where there is none.
 
-    Union and a running last value, one shuffle on the key; at equal times right rows come first. Right columns must not be named
-    like left ones.
+    Time is cut into buckets (a unit of date_trunc for timestamps, a width for numbers): inside a bucket a running last value over the
+    union of both sides, before it the last value of the earlier buckets, of which there is one row a key and bucket. So a key with a
+    third of all rows is spread over its buckets. At equal times right rows come first. Right columns must not be named like left ones.
     """
+    numeric = left.schema[left_time].dataType.typeName() in ("integer", "long", "short", "double", "float")
+    slot = (lambda c: F.floor(F.col(c) / int(bucket))) if numeric else (lambda c: F.date_trunc(bucket, c))
     packed = F.struct(*[F.col(v) for v in values])
-    a = left.select(*[F.col(k) for k in keys], F.col(left_time).alias("t_"), F.lit(1).alias("side_"), F.struct(*left.columns).alias("row_"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("p_"))
-    b = right.select(*[F.col(k) for k in keys], F.col(right_time).alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast(a.schema["row_"].dataType).alias("row_"), packed.alias("p_"))
-    order = Window.partitionBy(*keys).orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(b).withColumn("found_", F.last("p_", ignorenulls=True).over(order)).where("side_ = 1").select("row_.*", "found_.*")
+    packed_type = right.select(packed.alias("p")).schema["p"].dataType
+    a = left.select(*keys, slot(left_time).alias("slot_"), F.col(left_time).alias("t_"), F.lit(1).alias("side_"), F.struct(*left.columns).alias("row_"), F.lit(None).cast(packed_type).alias("p_"))
+    b = right.select(*keys, slot(right_time).alias("slot_"), F.col(right_time).alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast(a.schema["row_"].dataType).alias("row_"), packed.alias("p_"))
+    inside = Window.partitionBy(*keys, "slot_").orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = a.unionByName(b).withColumn("near_", F.last("p_", ignorenulls=True).over(inside)).where("side_ = 1")
+    slots = a.select(*keys, "slot_").distinct().withColumn("e_", F.lit(None).cast(packed_type))
+    ends = b.groupBy(*keys, "slot_").agg(F.max_by("p_", "t_").alias("e_"))
+    earlier = Window.partitionBy(*keys).orderBy("slot_").rowsBetween(Window.unboundedPreceding, -1)
+    per_slot = slots.unionByName(ends).groupBy(*keys, "slot_").agg(F.first("e_", ignorenulls=True).alias("e_"))
+    carried = per_slot.withColumn("far_", F.last("e_", ignorenulls=True).over(earlier)).drop("e_")
+    found = running.join(carried, [*keys, "slot_"], "left").withColumn("found_", F.coalesce("near_", "far_"))
+    return found.select("row_.*", "found_.*")
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int) -> DataFrame:
@@ -64,7 +75,8 @@ def gold_metrics(rows: DataFrame, correct: dict[str, Column], groupings: list[st
 def round_robin(rows: DataFrame, stratum: str, order: list[Column], size: int) -> DataFrame:
     """A stratified sample: the strata give their rows in turn, in their own order, until `size` rows are taken."""
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    return rows.withColumn("turn", place).orderBy("turn", stratum).limit(size)
+    # no stratum can give more than `size`; said in the plan, that limits each stratum before the shuffle
+    return rows.withColumn("turn", place).where(F.col("turn") <= size).orderBy("turn", stratum).limit(size)
 
 
 def status_of(statuses: Column) -> Column:

@@ -619,8 +619,8 @@ def table_provenance(spark: SparkSession, d: str) -> DataFrame:
 def dashboard(spark: SparkSession, d: str) -> DataFrame:
     source = F.coalesce(F.nullif(F.replace(F.lower(F.trim("source")), F.lit("-"), F.lit("_")), F.lit("")), F.lit("(blank)"))
     counted = facts(spark, d, "source", "confidence").groupBy(source.alias("source")).agg(F.count("*").alias("n_facts"), F.round(F.avg(F.col("confidence").try_cast("double")), 6).alias("mean_confidence"))
-    total = counted.agg(F.sum("n_facts").alias("total"))
-    return counted.join(F.broadcast(total)).select("source", "n_facts", "mean_confidence", R.percent(F.col("n_facts"), F.col("total")).alias("share"))
+    shared = spark.sql("SELECT *, (SELECT sum(n_facts) FROM {c}) AS total FROM {c}", c=counted)
+    return shared.select("source", "n_facts", "mean_confidence", R.percent(F.col("n_facts"), F.col("total")).alias("share"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(DISTINCT user_id) AS n_users FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2025-01-01' GROUP BY event_type")

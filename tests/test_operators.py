@@ -97,7 +97,12 @@ def test_dedup_ties_and_gate(spark):
 def test_asof_and_intervals(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 5)], "k int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (1, 9, "c")], "k int, u int, v string")
-    assert sorted(((r.k, r.t), r.v) for r in R.asof(left, right, ["k"], "t", "u", ["v"]).collect()) == [((1, 1), None), ((1, 5), "b"), ((2, 5), None)]
+    assert sorted(((r.k, r.t), r.v) for r in R.asof(left, right, ["k"], "t", "u", ["v"], bucket="2").collect()) == [((1, 1), None), ((1, 5), "b"), ((2, 5), None)]
+    many = spark.createDataFrame([(k, t) for k in (1, 2) for t in range(0, 50, 3)], "k int, t int")
+    marks = spark.createDataFrame([(k, u, f"{k}:{u}") for k in (1, 3) for u in (4, 17, 18, 33)], "k int, u int, v string")
+    for width in ("1", "5", "1000"):
+        found = {(r.k, r.t): r.v for r in R.asof(many, marks, ["k"], "t", "u", ["v"], bucket=width).collect()}
+        assert found == {(k, t): next((f"1:{u}" for u in (33, 18, 17, 4) if k == 1 and u <= t), None) for k in (1, 2) for t in range(0, 50, 3)}
     a = spark.createDataFrame([(1, i, i + w) for i in range(0, 60, 7) for w in (0, 3, 25)], "k int, a int, b int")
     b = spark.createDataFrame([(1, i, i + w) for i in range(0, 60, 5) for w in (0, 11)], "k int, c int, d int")
     brute = a.crossJoin(b.drop("k")).where("a <= d and c <= b").count()
