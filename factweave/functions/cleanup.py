@@ -21,7 +21,7 @@ def compact_ocr_numbers(column: Column, passes: int = 6) -> Column:
 def clean_math(column: Column) -> Column:
     """LaTeX marks of plain text removed: dollars, \\mathrm, sub- and superscript braces, degree signs as one character."""
     steps = (
-        (r"\\(?:mathrm|text|rm|mathbf)\s*\{([^{}]*)\}", "$1"),
+        plain := (r"\\(?:mathrm|text|rm|mathbf)\s*\{([^{}]*)\}", "$1"),
         (r"\^\s*\{?\s*\\circ\s*\}?\s*C", "℃"),
         (r"\\(?:sim|thicksim)", "~"),
         (r"\\times", "×"),
@@ -29,7 +29,9 @@ def clean_math(column: Column) -> Column:
         (r"\\(?:geq|ge)\b", "≥"),
         (r"\\mu\b", "μ"),
         (r"[_^]\s*\{([^{}]*)\}", "$1"),
-        (r"\\[,;!%]|\$", ""),
+        plain,  # what held a brace until now
+        (r"\\%", "%"),
+        (r"\\[,;!]|\$", ""),
         (r"(?U)\s+", " "),
     )
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, column))

@@ -103,6 +103,13 @@ def cleaned_math(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(~F.col("t").rlike(r"[^\x21-\x7e一-鿿 ]|[\^_\\]")).select("row_id", C.clean_math(F.col("t")).alias("cleaned"))
 
 
+@query()
+def cleaned_math_all(spark: SparkSession, d: str) -> DataFrame:
+    """LaTeX cleaning, torn numbers joined and the molar mass of every value, whatever it holds; cleaned_math compares the plain ones with SQL."""
+    cleaned = facts(spark, d, "row_id", "value_text").select("row_id", C.clean_math(F.coalesce("value_text", F.lit(""))).alias("cleaned"))
+    return cleaned.select("row_id", "cleaned", C.compact_ocr_numbers(F.col("cleaned")).alias("compact"), F.round(molar_mass_of("cleaned"), 3).alias("mass"))
+
+
 @query("SELECT * FROM (VALUES ('H2O', 18.015), ('Ca(OH)2', 74.092), ('CuSO4·5H2O', 249.677), ('C6H12O6', 180.156), ('Xy2', NULL), ('(CH3', NULL), ('2H2O', 36.03)) t(formula, mass)")
 def molar_masses(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(f,) for f in ("H2O", "Ca(OH)2", "CuSO4·5H2O", "C6H12O6", "Xy2", "(CH3", "2H2O")], "formula string")
