@@ -369,14 +369,23 @@ def _two_byte_runs() -> tuple[dict[str, str], re.Pattern]:
     return shown, re.compile("[" + "".join(map(re.escape, shown)) + "]+")
 
 
+@lru_cache(maxsize=1)
+def _lone_units() -> re.Pattern:
+    """The two characters GBK shows for a code point of three bytes and the ASCII byte it swallows."""
+    leads = [bytes([0xE2, x]) for x in range(0x80, 0x98)] + [b"\xe3\x80"] + [bytes([x, y]) for x in (*range(0xE4, 0xEA), 0xEF) for y in range(0x80, 0xC0) if x < 0xEF or y >= 0xBC]
+    tails = [bytes([x, y]) for x in range(0x80, 0xC0) for y in range(0x40, 0x7F)]
+    shown = lambda pairs: "".join(re.escape(c) for c in (b.decode("gb18030", "replace") for b in pairs) if len(c) == 1 and c != LOST)
+    return re.compile(f"[{shown(leads)}][{shown(tails)}]")
+
+
 def may_be_utf8_as_gbk(text: str, model: Model) -> bool:
-    """A quick test that no text with such a span fails: lost characters, a sequence of code points, or a run of two-byte code points
-    that would be known in its place."""
+    """A quick test that no text with such a span fails: lost characters, a sequence of code points, a lone one of three bytes with the
+    ASCII byte it swallows, or a run of two-byte code points that would be known in its place."""
     if LOST in text:
         return True
     try:
         raw = text.encode("gb18030")
-        if any(s.search(raw) for s in _SEQUENCES):
+        if any(s.search(raw) for s in _SEQUENCES) or _lone_units().search(text):
             return True
     except UnicodeEncodeError:
         return True
@@ -388,8 +397,8 @@ def may_be_utf8_as_gbk(text: str, model: Model) -> bool:
     return False
 
 
-def utf8_as_gbk(text: str, model: Model, thorough: bool = False) -> list[Span]:
-    """Spans of UTF-8 read as GBK; single code points that end inside a character are looked at only if thorough, or beside a lost one."""
+def utf8_as_gbk(text: str, model: Model) -> list[Span]:
+    """Spans of UTF-8 read as GBK; an ASCII byte that the last code point swallowed is given back."""
     spans: list[Span] = []
     for run in NON_ASCII.finditer(text):
         chars = run[0]
@@ -412,16 +421,15 @@ def utf8_as_gbk(text: str, model: Model, thorough: bool = False) -> list[Span]:
                 begin = last
             core = unit[0]
             size = widths[end] - widths[begin]
-            if not thorough and len(core) == 3 and size == 4 and LOST not in chars[max(0, begin - 1) : end + 1]:
-                # one code point of three bytes ends inside a character: alone, and with nothing lost beside it, it is chance
-                continue
             if len(core) < 0.5 * size or len(core) == 2 and widths[begin] != first_byte:
                 continue
             restored = core.decode("utf-8", "replace")
+            rest = raw[end_byte : widths[end]]
+            swallowed = rest.decode() if len(rest) == 1 and rest.isascii() else ""
             if len(restored) == 1:
                 # one code point: both its pairs must be known, which they seldom are in sound text
                 before = "" if first_byte != widths[begin] else chars[begin - 1 : begin] or text[run.start() - 1 : run.start()]
-                after = "" if end_byte != widths[end] else chars[end : end + 1] or text[run.end() : run.end() + 1]
+                after = swallowed if end_byte != widths[end] else chars[end : end + 1] or text[run.end() : run.end() + 1]
                 scores = ([model.pair(before + restored)] if before else []) + ([model.pair(restored + after)] if after else [])
                 if sum(scores) <= len(scores):
                     continue
@@ -434,11 +442,11 @@ def utf8_as_gbk(text: str, model: Model, thorough: bool = False) -> list[Span]:
             if len(aligned) > len(core):
                 # a lost or swallowed byte at the rim: judged by the inside alone
                 left = left if unit.start() == widths[begin] else ""
-                right = right if unit.end() == widths[end] else ""
-            gain = _better(model, written, restored, left, right)
+                right = right if unit.end() == widths[end] or swallowed else ""
+            gain = _better(model, written, restored + swallowed, left, right)
             need = GAIN if len(restored) > 2 else 2 * GAIN
-            if gain > need and model.pairs(left + restored + right) > (0.0 if len(restored) > 4 else 1.0):
-                spans.append((run.start() + begin, run.start() + end, restored, "utf-8 as gbk"))
+            if gain > need and model.pairs(left + restored + swallowed + right) > (0.0 if len(restored) > 4 else 1.0):
+                spans.append((run.start() + begin, run.start() + end, restored + swallowed, "utf-8 as gbk"))
                 last = end
     return spans
 
@@ -485,8 +493,6 @@ def damaged_spans(text: str, model: Model) -> list[Span]:
         spans.append(span)
 
     through_gbk = utf8_as_gbk(text, model) if may_be_utf8_as_gbk(text, model) else []
-    if through_gbk:
-        through_gbk = utf8_as_gbk(text, model, thorough=True)
     candidates = utf8_as_one_byte(text, model) + _joined(text, through_gbk, model) + gbk_as_one_byte(text, model) + swapped_one_byte(text, model)
     # the longer a span is, the less likely it fits by chance
     for span in sorted(candidates, key=lambda x: (x[0] - x[1], x[0])):

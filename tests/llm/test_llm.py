@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -267,3 +268,18 @@ def test_restoration_is_exact_where_nothing_is_lost(repaired):
 def test_pair_slots_agree():
     for a, b in ("aé", "密度", "ß ", "Ω·"):
         assert E.pair_slot(a, b) == int(E.pair_slots(a + b)[0])
+
+
+def model_of(texts):
+    words = [E.word_slot(w) for t in texts for w in E.alphabetic_words(t)]
+    slots = np.concatenate([E.pair_slots("\n".join(texts)).astype(np.int64), np.asarray(words, dtype=np.int64)])
+    table = np.bincount(slots, minlength=E.SLOTS)
+    return E.Model(np.where(table > 1, table, 0).astype(np.float32))
+
+
+def test_a_lone_code_point_is_damage_enough():
+    clean = ["the supplier’s site", "a “Keep dry” label", "at 5 ℃A and ≤B", "2–a"]
+    model = model_of(clean * 30 + CLEAN * 30)
+    damaged = [t.encode("utf-8").decode("gb18030", "replace") for t in ("the supplier’s site", "label “Keep it")]
+    assert [E.restore(t, E.damaged_spans(t, model)) for t in damaged] == ["the supplier’s site", "label “Keep it"]
+    assert all(E.damaged_spans(t, model) == [] for t in clean + CLEAN)
