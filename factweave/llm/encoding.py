@@ -33,6 +33,8 @@ LOST = "\ufffd"
 REPLACED = re.compile("锟斤|斤拷|锟[^\x00-\x7f]{1,2}拷|锟[�拷较酵狡借截教接]|�|[\x80-\x84\x86-\x9f]|[-]")
 # One-byte encodings that bytes are read in by mistake.
 ONE_BYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "cp1250", "mac_cyrillic")
+# Those of them that have no character for some bytes.
+HOLED = ("cp1252", "cp1251", "cp1250")
 # Fixed values: (encoding the text was written in, encoding it was read in), both of one byte, for Cyrillic words.
 SWAPPED = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("iso8859_5", "cp1251"), ("cp866", "cp1252"), ("iso8859_5", "cp1252"))
 
@@ -194,55 +196,64 @@ def bytes_read_as(text: str, codec: str) -> bytes:
     return bytes(table[c] if c in table else ord(c) for c in text)
 
 
+#: Steps that a code point of up to three bytes looks ahead.
+_AHEAD = 3
+
+
+def _code_points(units: list[int | None]) -> list[tuple[int, str]]:
+    """(bytes, code point) of what the head of a lattice can stand for, one lost byte at most in each."""
+    lead = units[0]
+    found: list[tuple[int, str]] = []
+    for length in (2, 3):
+        part = units[:length]
+        if len(part) < length or part.count(None) > 1:
+            continue
+        if lead is None:
+            leads = range(0xE3, 0xEA) if length == 3 else range(0xC3, 0xD2)
+        elif 0xC2 <= lead < 0xF0 and (length == 2) == (lead < 0xE0):
+            leads = (lead,)
+        else:
+            continue
+        options = [bytes([x]) for x in leads]
+        for unit in part[1:]:
+            options = [o + bytes([x]) for o in options for x in (range(0x80, 0xC0) if unit is None else (unit,))]
+        for option in options:
+            try:
+                found.append((length, option.decode("utf-8")))
+            except UnicodeDecodeError:
+                continue
+    if lead is not None and lead < 0x80:
+        found.append((1, chr(lead)))
+    return found
+
+
 def viterbi_utf8(lattice: list[int | None], model: Model, before: str = " ") -> str:
     """The most frequent text whose UTF-8 bytes fit a lattice of bytes, None being a lost one.
 
-    States are the code point decoded last; a place that no code point fits is passed over with the replacement character.
+    States are the code point decoded last; a place that no code point fits is passed over with the replacement character. Only
+    the places ahead are held, and the texts of the states share what they have in common: the work is linear in the lattice.
     """
-    size = len(lattice)
-    best: list[dict[str, tuple[float, str]]] = [{} for _ in range(size + 1)]
-    best[0][before] = (0.0, "")
-
-    def offer(at: int, last: str, score: float, text: str) -> None:
-        old = best[at].get(last)
-        if old is None or score > old[0]:
-            best[at][last] = (score, text)
-
-    for at in range(size):
-        if not best[at]:
-            continue
-        states = list(best[at].items()) if len(best[at]) <= 8 else sorted(best[at].items(), key=lambda kv: -kv[1][0])[:8]
-        lead = lattice[at]
-        found: list[tuple[int, str]] = []
-        if lead is None or lead >= 0xC2:
-            for length in (2, 3):
-                units = lattice[at : at + length]
-                if len(units) < length:
-                    continue
-                if units.count(None) > 1:
-                    continue
-                if units[0] is None:
-                    leads = range(0xE3, 0xEA) if length == 3 else range(0xC3, 0xD2)
-                elif (length == 2) == (units[0] < 0xE0) and units[0] < 0xF0:
-                    leads = (units[0],)
-                else:
-                    continue
-                options = [bytes([x]) for x in leads]
-                for unit in units[1:]:
-                    options = [o + bytes([x]) for o in options for x in (range(0x80, 0xC0) if unit is None else (unit,))]
-                for option in options:
-                    try:
-                        found.append((length, option.decode("utf-8")))
-                    except UnicodeDecodeError:
-                        continue
-        if lead is not None and lead < 0x80:
-            found.append((1, chr(lead)))
+    best: list[dict[str, tuple[float, tuple]]] = [{before: (0.0, ())}, *({} for _ in range(_AHEAD))]
+    for at in range(len(lattice)):
+        states = list(best[0].items()) if len(best[0]) <= 8 else sorted(best[0].items(), key=lambda kv: -kv[1][0])[:8]
+        found = _code_points(lattice[at : at + _AHEAD]) if states else []
         for last, (score, text) in states:
             for length, ch in found:
-                offer(at + length, ch, score + (0.0 if (last + ch).isascii() else model.pair(last + ch)) + 1.0 * length, text + ch)
-            offer(at + 1, last, score - 6.0, text + LOST)
-    ends = best[size]
-    return max(ends.values(), key=lambda x: x[0])[1] if ends else "".join(LOST for _ in lattice)
+                new = score + (0.0 if (last + ch).isascii() else model.pair(last + ch)) + 1.0 * length
+                old = best[length].get(ch)
+                if old is None or new > old[0]:
+                    best[length][ch] = (new, (text, ch))
+            old = best[1].get(last)
+            if old is None or score - 6.0 > old[0]:
+                best[1][last] = (score - 6.0, (text, LOST))
+        best = [*best[1:], {}]
+    if not best[0]:
+        return LOST * len(lattice)
+    out, text = [], max(best[0].values(), key=lambda x: x[0])[1]
+    while text:
+        text, ch = text
+        out.append(ch)
+    return "".join(reversed(out))
 
 
 def _gbk_lattice(span: str) -> list[int | None]:
@@ -294,6 +305,31 @@ def utf8_as_one_byte(text: str, model: Model) -> list[Span]:
     return spans
 
 
+@lru_cache(maxsize=32)
+def _holed_runs(codec: str) -> re.Pattern:
+    """Runs of lead, trail and lost bytes of UTF-8 that hold a lost one and begin with a lead byte."""
+    leads, tail = _class(codec, 0xC2, 0xEF), _class(codec, 0x80, 0xBF)
+    return re.compile(f"[{leads}][{leads}{tail}]*{LOST}[{leads}{tail}{LOST}]*")
+
+
+def utf8_with_holes(text: str, model: Model) -> list[Span]:
+    """UTF-8 read in a one-byte encoding that has no character for some of its bytes: the lattice with these as wildcards."""
+    if LOST not in text:
+        return []
+    best: dict[tuple[int, int], tuple[float, Span]] = {}
+    for codec in HOLED:
+        for m in _holed_runs(codec).finditer(text):
+            table = byte_of(codec)
+            restored = viterbi_utf8([None if c == LOST else table[c] for c in m[0]], model, text[m.start() - 1 : m.start()] or " ")
+            left, right = _context(text, m.start(), m.end())
+            known = model.pairs(left + restored + right)
+            if LOST in restored or not _PLAUSIBLE.fullmatch(restored) or known <= 1.0 or known - model.pairs(left + m[0].replace(LOST, "") + right) <= GAIN:
+                continue
+            if m.span() not in best or known > best[m.span()][0]:
+                best[m.span()] = (known, (m.start(), m.end(), restored, f"utf-8 as {codec}"))
+    return [span for _, span in best.values()]
+
+
 def gbk_as_one_byte(text: str, model: Model) -> list[Span]:
     spans = []
     for m in GBK_AS_LATIN.finditer(text):
@@ -415,6 +451,9 @@ def utf8_as_gbk(text: str, model: Model) -> list[Span]:
         last = 0
         for unit in units:
             first_byte, end_byte = unit.span()
+            if even and end_byte - first_byte == 2 and first_byte & 1:
+                # one code point of two bytes across two characters
+                continue
             begin = first_byte // 2 if even else bisect(widths, first_byte) - 1
             end = (end_byte + 1) // 2 if even else bisect_left(widths, end_byte)
             if begin < last:
@@ -465,7 +504,7 @@ def _joined(text: str, spans: list[Span], model: Model) -> list[Span]:
             while end < len(text) and text[end] == LOST:
                 end += 1
             written = text[begin:end]
-            if (last > first or LOST in written) and len(written) <= 4000:
+            if last > first or LOST in written:
                 restored = viterbi_utf8(_gbk_lattice(written), model, text[begin - 1 : begin] or " ")
                 if restored.count(LOST) * 3 <= len(restored) and model.pairs(restored.replace(LOST, "")) > model.pairs(written.replace(LOST, "")) + GAIN / 2:
                     out.append((begin, end, restored, spans[first][3]))
@@ -493,7 +532,7 @@ def damaged_spans(text: str, model: Model) -> list[Span]:
         spans.append(span)
 
     through_gbk = utf8_as_gbk(text, model) if may_be_utf8_as_gbk(text, model) else []
-    candidates = utf8_as_one_byte(text, model) + _joined(text, through_gbk, model) + gbk_as_one_byte(text, model) + swapped_one_byte(text, model)
+    candidates = utf8_as_one_byte(text, model) + utf8_with_holes(text, model) + _joined(text, through_gbk, model) + gbk_as_one_byte(text, model) + swapped_one_byte(text, model)
     # the longer a span is, the less likely it fits by chance
     for span in sorted(candidates, key=lambda x: (x[0] - x[1], x[0])):
         if free(span[0], span[1]):

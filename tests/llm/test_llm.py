@@ -283,3 +283,14 @@ def test_a_lone_code_point_is_damage_enough():
     damaged = [t.encode("utf-8").decode("gb18030", "replace") for t in ("the supplier’s site", "label “Keep it")]
     assert [E.restore(t, E.damaged_spans(t, model)) for t in damaged] == ["the supplier’s site", "label “Keep it"]
     assert all(E.damaged_spans(t, model) == [] for t in clean + CLEAN)
+
+
+def test_lost_bytes_come_back_in_spans_of_any_length():
+    model = model_of(CLEAN * 30)
+    long = CLEAN[0] * 200
+    damaged = long.encode("utf-8").decode("gb18030", "replace")
+    spans = E.damaged_spans(damaged, model)
+    assert len(damaged) > 4000 and E.LOST in damaged and len(spans) == 1 and spans[0][2].count(E.LOST) <= 1
+    model = model_of([*CLEAN, "the “Keep dry” label"] * 30)
+    damaged = "the “Keep dry” label".encode("utf-8").decode("cp1252", "replace")
+    assert E.LOST in damaged and E.restore(damaged, E.damaged_spans(damaged, model)) == "the “Keep dry” label"
