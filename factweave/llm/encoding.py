@@ -27,6 +27,8 @@ from factweave.session import small_rows
 SLOTS = 1 << 20
 #: How much more frequent (in nats a pair) a decoding has to be than what is written.
 GAIN = 1.2
+#: The same for a word of three letters.
+SHORT_GAIN = 4.2
 LOST = "\ufffd"
 
 # What the replacement character's own UTF-8 bytes look like when they are read as GBK.
@@ -158,12 +160,21 @@ class Model:
 
     #: Pairs whose score is kept at hand.
     CACHE = 400_000
+    #: Pairs and words of the corpus that the thresholds are counts in; in others they are as large a share.
+    PER = 4.4e7
+    #: Score of what was seen twice, the least that is counted.
+    SEEN = math.log(2.3)
 
     def __init__(self, table: np.ndarray) -> None:
         self.logs = np.log(table + 0.3)
+        self.shift = math.log(max(float(table.sum(dtype=np.float64)), 1.0) / self.PER)
         self._seen: dict[str, float] = {}
         self._words: dict[str, object] = {}
 
+    def least(self, threshold: float) -> float:
+        """A threshold for the size of this corpus; in a small one it asks for nothing beyond having been seen."""
+        return max(threshold + self.shift, min(threshold, self.SEEN))
+
     def remembered(self, word: str, judge):
         """judge(word, self), kept at hand for words that come again."""
         if word not in self._words:
@@ -323,7 +334,7 @@ def utf8_with_holes(text: str, model: Model) -> list[Span]:
             restored = viterbi_utf8([None if c == LOST else table[c] for c in m[0]], model, text[m.start() - 1 : m.start()] or " ")
             left, right = _context(text, m.start(), m.end())
             known = model.pairs(left + restored + right)
-            if LOST in restored or not _PLAUSIBLE.fullmatch(restored) or known <= 1.0 or known - model.pairs(left + m[0].replace(LOST, "") + right) <= GAIN:
+            if LOST in restored or not _PLAUSIBLE.fullmatch(restored) or known <= model.least(1.0) or known - model.pairs(left + m[0].replace(LOST, "") + right) <= GAIN:
                 continue
             if m.span() not in best or known > best[m.span()][0]:
                 best[m.span()] = (known, (m.start(), m.end(), restored, f"utf-8 as {codec}"))
@@ -340,7 +351,7 @@ def gbk_as_one_byte(text: str, model: Model) -> list[Span]:
         left, right = _context(text, m.start(), m.end())
         gain = _better(model, written, restored.replace(LOST, ""), left, right)
         # one or two code points prove less than a run
-        if gain > (GAIN if len(restored) > 2 else 1.5 * GAIN) and model.pairs(left + restored + right) > 0.5:
+        if gain > (GAIN if len(restored) > 2 else 1.5 * GAIN) and model.pairs(left + restored + right) > model.least(0.5):
             spans.append((m.start(), m.end(), restored, "gbk as one-byte"))
     return spans
 
@@ -348,8 +359,8 @@ def gbk_as_one_byte(text: str, model: Model) -> list[Span]:
 def swapped_word(written: str, model: Model) -> tuple[str, str] | None:
     """(decoding, channel) of a word written in one one-byte encoding and read in another, if the corpus knows the decoding far better."""
     known = model.word(written)
-    # three letters prove little: they must be unknown as they stand and a frequent word otherwise
-    least = max(known + 2 * GAIN, 1.5) if len(written) > 3 else 3.0 if known < 0 else math.inf
+    # three letters prove little: the decoding must be a frequent word, and far more so than what is written
+    least = max(known + 2 * GAIN, model.least(1.5)) if len(written) > 3 else max(known + SHORT_GAIN, model.least(3.0))
     for right_codec, wrong_codec in SWAPPED:
         table = byte_of(wrong_codec)
         if not all(c in table for c in written):
@@ -428,7 +439,7 @@ def may_be_utf8_as_gbk(text: str, model: Model) -> bool:
     shown, runs = _two_byte_runs()
     for m in runs.finditer(text):
         left, right = _context(text, m.start(), m.end())
-        if model.pairs(left + "".join(map(shown.get, m[0])) + right) > (0.0 if len(m[0]) > 4 else 1.0):
+        if model.pairs(left + "".join(map(shown.get, m[0])) + right) > model.least(0.0 if len(m[0]) > 4 else 1.0):
             return True
     return False
 
@@ -470,7 +481,7 @@ def utf8_as_gbk(text: str, model: Model) -> list[Span]:
                 before = "" if first_byte != widths[begin] else chars[begin - 1 : begin] or text[run.start() - 1 : run.start()]
                 after = swallowed if end_byte != widths[end] else chars[end : end + 1] or text[run.end() : run.end() + 1]
                 scores = ([model.pair(before + restored)] if before else []) + ([model.pair(restored + after)] if after else [])
-                if sum(scores) <= len(scores):
+                if sum(scores) <= len(scores) * model.least(1.0):
                     continue
             if LOST in restored or not _PLAUSIBLE.fullmatch(restored):
                 continue
@@ -484,7 +495,7 @@ def utf8_as_gbk(text: str, model: Model) -> list[Span]:
                 right = right if unit.end() == widths[end] or swallowed else ""
             gain = _better(model, written, restored + swallowed, left, right)
             need = GAIN if len(restored) > 2 else 2 * GAIN
-            if gain > need and model.pairs(left + restored + swallowed + right) > (0.0 if len(restored) > 4 else 1.0):
+            if gain > need and model.pairs(left + restored + swallowed + right) > model.least(0.0 if len(restored) > 4 else 1.0):
                 spans.append((run.start() + begin, run.start() + end, restored + swallowed, "utf-8 as gbk"))
                 last = end
     return spans

@@ -294,3 +294,12 @@ def test_lost_bytes_come_back_in_spans_of_any_length():
     model = model_of([*CLEAN, "the “Keep dry” label"] * 30)
     damaged = "the “Keep dry” label".encode("utf-8").decode("cp1252", "replace")
     assert E.LOST in damaged and E.restore(damaged, E.damaged_spans(damaged, model)) == "the “Keep dry” label"
+
+
+def test_judgement_follows_shares_not_counts():
+    damaged = "при".encode("cp1251").decode("cp866")
+    model = model_of(["образец при температуре"] * 400 + [f"x {damaged} y"] * 3)
+    assert E.swapped_word(damaged, model) == ("при", "cp1251 as cp866")
+    large, larger = (E.Model(np.full(E.SLOTS, n, dtype=np.float32)) for n in (500, 5000))
+    assert round(larger.least(1.0) - large.least(1.0), 6) == round(np.log(10), 6)
+    assert model.least(1.0) < 1.0
