@@ -104,23 +104,24 @@ Cell = tuple[int, int, str, bool, bool]
 
 def grid_of(kind: str, raw: str) -> list[Cell]:
     """(row, column, text, header, copy) of a table, spans expanded: the first cell that claims a place keeps it, holes are empty,
-    ragged rows are padded."""
+    ragged rows are padded. A rowspan ends with the rows of the table, a colspan is taken as it is written."""
     if kind == "pipe":
         rows = [split_pipe_row(line) for at, line in enumerate(raw.split("\n")) if at != 1]
         width = max(map(len, rows), default=0)
         return [(r, c, re.sub(r"\s+", " ", row[c]) if c < len(row) else "", r == 0, False) for r, row in enumerate(rows) for c in range(width)]
     places: dict[tuple[int, int], tuple[str, bool, bool]] = {}
-    for r, row in enumerate(_ROW.findall(raw)):
+    rows = [[(tag, body, {name.lower(): max(1, int(n)) for name, n in _SPAN.findall(attributes)}) for tag, attributes, body in _CELL.findall(row)] for row in _ROW.findall(raw)]
+    for r, row in enumerate(rows):
         c = 0
-        for tag, attributes, body in _CELL.findall(row):
+        for tag, body, spans in row:
             while (r, c) in places:
                 c += 1
-            spans = {name.lower(): max(1, min(200, int(n))) for name, n in _SPAN.findall(attributes)}
             label = re.sub(r"\s+", " ", html.unescape(_TAG.sub(" ", body))).strip()
-            for dr in range(spans.get("rowspan", 1)):
-                for dc in range(spans.get("colspan", 1)):
+            down, across = min(spans.get("rowspan", 1), len(rows) - r), spans.get("colspan", 1)
+            for dr in range(down):
+                for dc in range(across):
                     places.setdefault((r + dr, c + dc), (label, tag.lower() == "th", bool(dr or dc)))
-            c += spans.get("colspan", 1)
+            c += across
     height, width = (max((k[i] for k in places), default=-1) + 1 for i in (0, 1))
     return [(r, c, *places.get((r, c), ("", False, False))) for r in range(height) for c in range(width)]
 

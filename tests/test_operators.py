@@ -113,3 +113,10 @@ def test_tsv_escape(spark):
     cell = "a\\n\tb\n\\\\c\r"
     row = spark.range(1).select(V.escape_tsv(F.lit(cell)).alias("e")).select("e", V.unescape_tsv(F.col("e")).alias("u")).first()
     assert "\n" not in row.e and "\t" not in row.e and row.u == cell
+
+
+def test_long_spans_are_whole():
+    raw = "<table><tr><td rowspan=300>甲</td><td>0</td></tr>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 250)) + "<tr><td colspan=250>乙</td></tr></table>"
+    cells = {(r, c): text for r, c, text, _, _ in D.grid_of("html", raw)}
+    assert all(cells[r, 0] == "甲" and cells[r, 1] == str(r) for r in range(250))
+    assert cells[250, 0] == "甲" and cells[250, 250] == "乙" and max(cells) == (250, 250)
