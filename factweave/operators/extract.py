@@ -26,6 +26,11 @@ RELATIONS = (
     ("causal", r"^(.{1,40}?)(?:导致|使得|引起)(.{1,40})$"),
     ("solubility", r"^(.{0,30}?)可溶于(.{1,40})$"),
 )
+# The same without bounds of length. The subject begins behind the last sentence that ends inside the clause before the verb.
+WHOLE_RELATIONS = tuple(
+    (kind, rf"^(?:(?:(?!{verbs}).)*(?:\S\.\s+(?=\p{{IsHan}})|\p{{Ll}}{{3}}\.\s+(?=\p{{Lu}})))?((?:(?!{verbs}).){least})(?:{verbs})(.+)$")
+    for kind, verbs, least in (("classification", "是一种|属于", "+"), ("application", "可用于|多用于|适合作为|用作", "*"), ("causal", "导致|使得|引起", "+"), ("solubility", "可溶于", "*"))
+)
 # Actions of a process.
 ACTIONS = ("加入", "混合", "共混", "复配", "加热", "升温", "保温", "冷却", "搅拌", "过滤", "干燥", "脱模", "脱泡", "过筛", "静置", "取样", "浇注", "预混")
 
@@ -58,11 +63,11 @@ def compositions(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found.select(id_col, "ord", F.explode(members).alias("m")).select(id_col, "ord", "m.*")
 
 
-def relations(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def relations(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: tuple[tuple[str, str], ...] = WHOLE_RELATIONS) -> DataFrame:
     """id, ord, kind, subject, object; the first kind that a clause matches."""
     rows = clause_rows(documents, id_col, text_col)
-    kind = F.coalesce(*[F.when(F.col("clause").rlike(p), F.lit(k)) for k, p in RELATIONS])
-    pick = lambda i: F.coalesce(*[F.when(F.col("kind") == k, F.trim(F.regexp_extract("clause", p, i))) for k, p in RELATIONS])
+    kind = F.coalesce(*[F.when(F.col("clause").rlike(p), F.lit(k)) for k, p in patterns])
+    pick = lambda i: F.coalesce(*[F.when(F.col("kind") == k, F.trim(F.regexp_extract("clause", p, i))) for k, p in patterns])
     return rows.withColumn("kind", kind).where("kind is not null").select(id_col, "ord", "kind", pick(1).alias("subject"), pick(2).alias("object"))
 
 

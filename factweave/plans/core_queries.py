@@ -150,6 +150,12 @@ _KIND = "CASE " + " ".join(f"WHEN regexp_matches(clause, '{p}') THEN '{k}'" for
     """
 )
 def relations(spark: SparkSession, d: str) -> DataFrame:
+    return X.relations(table(spark, d, "documents"), patterns=X.RELATIONS)
+
+
+@query()
+def relations_all(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of clauses of any length; relations compares the short ones with SQL."""
     return X.relations(table(spark, d, "documents"))
 
 

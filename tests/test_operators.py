@@ -120,3 +120,10 @@ def test_long_spans_are_whole():
     cells = {(r, c): text for r, c, text, _, _ in D.grid_of("html", raw)}
     assert all(cells[r, 0] == "甲" and cells[r, 1] == str(r) for r in range(250))
     assert cells[250, 0] == "甲" and cells[250, 250] == "乙" and max(cells) == (250, 250)
+
+
+def test_relations_of_any_length(spark):
+    english, long = "Blend Selovite 627 with the resin and stir before sampling. ", "甲" * 60
+    docs = spark.createDataFrame([(1, english + "可溶于酮类、酯类溶剂，遇水析出"), (2, f"{long}可用于{long}"), (3, "No. 5 树脂导致开裂"), (4, "可溶于水"), (5, "导致开裂"), (6, "甲属于乙属于丙"), (7, "It was 395.9 ℃. 可溶于水"), (8, english + "FE-79可溶于水")], "doc_id bigint, text string")
+    found = [(r.doc_id, r.kind, r.subject, r.object) for r in X.relations(docs).orderBy("doc_id").collect()]
+    assert found == [(1, "solubility", "", "酮类、酯类溶剂，遇水析出"), (2, "application", long, long), (3, "causal", "No. 5 树脂", "开裂"), (4, "solubility", "", "水"), (6, "classification", "甲", "乙属于丙"), (7, "solubility", "", "水"), (8, "solubility", "FE-79", "水")]
