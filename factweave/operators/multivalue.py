@@ -28,7 +28,7 @@ SENTENCE_END = "。！？!?"
 # Placeholders that hold a separator.
 PLACEHOLDERS = ("n/a", "/")
 
-#: Rows without any of these hold one value at most; a native filter drops them before they reach Python.
+#: Rows without any of these, or of the code points that fold to them, hold one value at most.
 CANDIDATE = r"[;；|｜、\n\t,，/／①-⑳﹐﹑]|\\n|(^|[\s ])[0-9０-９]{1,2}[)）]"
 
 _DROP = 0
@@ -49,6 +49,13 @@ def _lut() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def candidate() -> str:
+    """The native filter that drops rows of one value before they reach Python: CANDIDATE, with all that folds to a separator."""
+    folded = np.flatnonzero(np.isin(_lut()[:0x10000], _codes(STRONG + WEAK + CIRCLED)))
+    return CANDIDATE + "|[" + "".join(f"\\x{{{code:x}}}" for code in folded) + "]"
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
@@ -309,6 +316,6 @@ def split_values(facts: DataFrame, names: Iterable[str], id_col: str = "row_id",
     quoted = [F.col(f"`{f}`") for f in fields]
     narrow = facts.select(F.col(f"`{id_col}`").alias("id_"), *[q.alias(f"f{i}") for i, q in enumerate(quoted)])
     if not keep_single:
-        narrow = narrow.select("id_", *[F.when(F.col(f"f{i}").rlike(CANDIDATE), F.col(f"f{i}")).alias(f"f{i}") for i in range(len(fields))])
+        narrow = narrow.select("id_", *[F.when(F.col(f"f{i}").rlike(candidate()), F.col(f"f{i}")).alias(f"f{i}") for i in range(len(fields))])
         narrow = narrow.where(F.coalesce(*[F.col(f"f{i}") for i in range(len(fields))]).isNotNull())
     return narrow.mapInArrow(work, f"`{id_col}` {id_type}, field_name string, pos bigint, value string")

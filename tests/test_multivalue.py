@@ -1,5 +1,7 @@
 """The vectorised splitter against single cases, a brute-force version and random text."""
 
+import re
+
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,3 +85,11 @@ def test_operator(spark):
     assert out == sorted([(1, "predicate_raw", 1, "熔点"), (1, "predicate_raw", 2, "密度")] * 2 + [(2, "尾实体/取值文本", 1, "水"), (2, "尾实体/取值文本", 2, "丙酮")])
     assert split_values(df.limit(0), NAMES).count() == 0
     assert split_values(df, NAMES, keep_single=True).where("row_id = 3").count() == 2
+
+
+def test_the_filter_knows_all_that_folds_to_a_separator():
+    from factweave.operators import multivalue as M
+
+    passes = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), M.candidate()))
+    assert all(passes.search(f"甲{c}乙") for c in "\u2215\u2044\uff64\u037e;|、,/①") and not passes.search("甲乙")
+    assert not re.search(M.CANDIDATE, "甲\uff64乙")
