@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.tokens import TOKENIZER, rank_within, with_tokens
+from factweave.llm.tokens import TOKENIZER, place_by_rank, with_tokens
 from factweave.session import cut_lineage, small_rows
 
 #: Share of the capacity from which on a size is planned by configurations, and the number of groups.
@@ -153,7 +153,8 @@ def pack_documents(documents: DataFrame, limits: DataFrame, id_col: str = "doc_i
     A document is cut only if it is larger than a container: into pieces of the capacity and a rest. Documents without tokens
     (null, empty) go to no container. Repeated ids are documents of their own only if the table holds them twice; each row is
     placed once. limits: container_kind, capacity_tokens, a small fixed table; capacities below 1 give no container. The driver
-    sees the histogram of sizes, at most one entry per size up to the capacity.
+    sees the histogram of sizes, at most one entry per size up to the capacity; documents meet the plan by rank, in the shuffle that
+    ranks them, and the plan is not broadcast.
     """
     # texts are encoded once; what is kept for all kinds of containers is an id and a number
     sized = cut_lineage(with_tokens(documents.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), "text_", tokenizer).select("id_", "tokens").where("tokens > 0"))
@@ -166,11 +167,8 @@ def pack_documents(documents: DataFrame, limits: DataFrame, id_col: str = "doc_i
         ).withColumn("size", (F.col("token_end") - F.col("token_begin")).cast("int"))
         histogram = {r["size"]: r["n"] for r in small_rows(items.groupBy("size").agg(F.count("*").alias("n")), capacity)}
         runs, _ = plan_containers(histogram, capacity)
-        plan = documents.sparkSession.createDataFrame(runs or [(0, 0, 0, 0)], "plan_size int, first_rank bigint, end_rank bigint, first_container bigint")
-        ranked = rank_within(items, ["size"], ["id_", "piece"])
-        placed = ranked.join(
-            F.broadcast(plan), (F.col("size") == F.col("plan_size")) & (F.col("rank_") >= F.col("first_rank")) & (F.col("rank_") < F.col("end_rank"))
-        ).select(
+        plan = documents.sparkSession.createDataFrame(runs, "size int, first_rank bigint, end_rank bigint, first_container bigint")
+        placed = place_by_rank(items, ["size"], ["id_", "piece"], plan).select(
             F.lit(limit.container_kind).alias("container_kind"),
             (F.col("first_container") + F.col("rank_") - F.col("first_rank")).alias("container"),
             F.col("id_").alias(id_col),

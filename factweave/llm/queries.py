@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.canonical import map_to_canonical
@@ -71,6 +71,44 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return _mixture(spark, directory)[1]
 
 
+def p7_rules_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of the containers: none above its capacity, every document placed once and whole unless it is larger than a
+    container, and hardly more containers than the tokens need."""
+    limits = table(spark, directory, "pack_limits")
+    placed = p7_containers(spark, directory)
+    pieces = placed.groupBy("container_kind", "doc_id").agg(
+        F.count("*").alias("n"), F.count_distinct("piece").alias("d"), F.sum("tokens").alias("tokens"), F.max("token_end").alias("end_")
+    )
+    documents = pieces.join(F.broadcast(limits), "container_kind").groupBy("container_kind").agg(
+        F.count("*").alias("n_documents"),
+        F.count_if((F.col("n") != F.col("d")) | (F.col("end_") != F.col("tokens"))).alias("placed_wrongly"),
+        F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("needless_cuts"),
+    )
+    containers = placed.groupBy("container_kind", "container").agg(F.sum("tokens").alias("used")).join(F.broadcast(limits), "container_kind")
+    filled = containers.groupBy("container_kind", "capacity_tokens").agg(
+        F.count_if(F.col("used") > F.col("capacity_tokens")).alias("over_capacity"), F.count("*").alias("n"), F.sum("used").alias("used")
+    )
+    near = F.col("n") <= 1.02 * F.col("used") / F.col("capacity_tokens") + 2
+    return filled.join(documents, "container_kind").select("container_kind", "n_documents", "placed_wrongly", "needless_cuts", "over_capacity", near.alias("near_bound"))
+
+
+def p8_targets_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of the mixture: no document above its cap, and each source that has documents at its share of the tokens."""
+    selection, report = _mixture(spark, directory)
+    used = selection.groupBy("source").agg(F.max("repeats").alias("most"))
+    present = F.sum(F.when(F.col("actual_tokens") > 0, F.col("target_share"))).over(Window.partitionBy())
+    there = F.col("actual_tokens") > 0
+    aim = F.when(there, F.col("target_share") / present).otherwise(F.lit(0.0))
+    return report.withColumn("aim", aim).join(used, "source", "left").select(
+        "source",
+        "max_repeats",
+        there.alias("has_documents"),
+        (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("over_cap"),
+        (F.abs(F.col("actual_share") - F.col("aim")) < 0.0005).alias("on_target"),
+        (F.col("actual_tokens") > F.col("target_tokens")).alias("over_budget"),
+    )
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return repair_encoding(table(spark, directory, "documents")).select("doc_id")
 
@@ -89,8 +127,10 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_names": p6_names,
     "p7_containers": p7_containers,
+    "p7_rules_kept": p7_rules_kept,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
+    "p8_targets_kept": p8_targets_kept,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
@@ -113,4 +153,16 @@ ORACLE: dict[str, str] = {
         SELECT min(t.row_id) AS row_id FROM t JOIN g ON t.k = g.k
         WHERE n >= 2 AND filled = mf AND at_ = ma AND trust = mt GROUP BY t.k
     """,
+    "p7_rules_kept": """
+        SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_documents, CAST(0 AS BIGINT) AS placed_wrongly,
+               CAST(0 AS BIGINT) AS needless_cuts, CAST(0 AS BIGINT) AS over_capacity, true AS near_bound
+        FROM pack_limits
+    """,
+    "p8_targets_kept": """
+        SELECT m.source, m.max_repeats,
+               EXISTS (SELECT 1 FROM documents d LEFT JOIN source_books b ON d.book_id = b.book_id
+                       WHERE length(d.text) > 0 AND coalesce(b.source, regexp_replace(lower(trim(d.source)), '[\\s-]+', '_', 'g')) = m.source) AS has_documents,
+               false AS over_cap, true AS on_target, false AS over_budget
+        FROM mix_targets m
+    """,
 }

@@ -63,21 +63,21 @@ def with_tokens(documents: DataFrame, text_col: str = "text", path: str = TOKENI
     return documents.withColumn("tokens", size(F.col(text_col)))
 
 
-def rank_within(rows: DataFrame, keys: list[str], identity: list[str], seed: int = 0, buckets: int = 64) -> DataFrame:
-    """The rows with rank_ (from 0) within their key, in the order of a seeded hash of their identity.
-
-    A key is cut into ranges of the hash, each sorted alone, and the counts of the ranges before it are added: a key with a third
-    of all rows is spread over `buckets` tasks. Equal rows get different ranks in an arbitrary but complete order.
+def place_by_rank(rows: DataFrame, keys: list[str], identity: list[str], plan: DataFrame, seed: int = 0, buckets: int = 64) -> DataFrame:
+    """The rows with rank_ (from 0) within their key, in the order of a seeded hash of their identity, and the columns of the run of
+    the plan that holds this rank; rows of no run are left out.
+
+    plan: the keys (not null), first_rank, end_rank and further columns; runs of one key do not overlap. A key is cut into ranges of
+    the hash, each sorted alone, and the counts of the ranges before it are added: a key with a third of all rows is spread over
+    `buckets` tasks. The plan is joined to the ranges, of which there are at most `buckets` a key, and with them to the rows by the
+    partitioning they were ranked in. Equal rows get different ranks in an arbitrary but complete order.
     """
-    hashed = rows.withColumn("h_", F.xxhash64(*identity, F.lit(seed))).withColumn("bucket_", F.shiftrightunsigned(F.col("h_"), 32) * buckets / F.lit(float(1 << 32)))
-    hashed = hashed.withColumn("bucket_", F.col("bucket_").cast("int"))
+    hashed = rows.withColumn("h_", F.xxhash64(*identity, F.lit(seed)))
+    hashed = hashed.withColumn("bucket_", (F.shiftrightunsigned(F.col("h_"), 32) * buckets / F.lit(float(1 << 32))).cast("int"))
     counts = hashed.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_"))
-    before = counts.withColumn("before_", F.sum("n_").over(Window.partitionBy(*keys).orderBy("bucket_")) - F.col("n_")).drop("n_")
+    ranges = counts.withColumn("before_", F.sum("n_").over(Window.partitionBy(*keys).orderBy("bucket_")) - F.col("n_"))
+    met = ranges.join(plan, keys).where((F.col("first_rank") < F.col("before_") + F.col("n_")) & (F.col("end_rank") > F.col("before_"))).drop("n_")
     local = F.row_number().over(Window.partitionBy(*keys, "bucket_").orderBy("h_", *identity)) - 1
-    ranked = hashed.withColumn("local_", local)
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "bucket_"]]
-    condition = same[0]
-    for x in same[1:]:
-        condition = condition & x
-    joined = ranked.alias("a").join(before.alias("b"), condition)
-    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("a.local_") + F.col("b.before_")).alias("rank_"))
+    ranked = hashed.withColumn("local_", local).drop("h_")
+    placed = ranked.join(met, [*keys, "bucket_"]).withColumn("rank_", F.col("local_") + F.col("before_"))
+    return placed.where((F.col("rank_") >= F.col("first_rank")) & (F.col("rank_") < F.col("end_rank"))).drop("bucket_", "local_", "before_")

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,10 +14,10 @@ from factweave.llm import encoding as E
 from factweave.llm.canonical import map_to_canonical
 from factweave.llm.fusion import COMPLETE_FIELDS, FUSED_FIELDS, dominant_rows, fuse_records
 from factweave.llm.lookalike import consistent_names, settle_word, unify_text
-from factweave.llm.mixing import budgets, fit_budget, mix_sources
+from factweave.llm.mixing import budgets, fit_budget, mix_sources, repeats_for
 from factweave.llm.packing import pack_documents, plan_containers
 from factweave.llm.splitting import cut_with_overlap, split_oversized
-from factweave.llm.tokens import TOKENIZER, rank_within
+from factweave.llm.tokens import TOKENIZER, place_by_rank
 
 # --- 1 ---
 
@@ -192,6 +193,38 @@ def test_large_budget():
     assert sum(x * n for x, n in taken.items()) == 54_321_987 and all(n <= 1000 for n in taken.values())
 
 
+def _best_sum(counts, budget):
+    sums, window = 1, (1 << budget + 1) - 1
+    for length, n in counts.items():
+        for _ in range(n):
+            sums |= sums << length & window
+    return sums.bit_length() - 1
+
+
+def test_budgets_of_long_documents_are_exact():
+    random = np.random.default_rng(5)
+    for _ in range(30):
+        counts = {int(x): int(n) for x, n in zip(random.integers(9_000, 60_000, 8), random.integers(1, 6, 8), strict=True)}
+        budget = int(random.integers(1, 1_000_000))
+        taken = fit_budget(counts, budget)
+        assert sum(x * n for x, n in taken.items()) == _best_sum(counts, min(budget, sum(x * n for x, n in counts.items())))
+    # far above any window: proven by remainders
+    assert sum(x * n for x, n in fit_budget({60_000: 10**6, 59_999: 3}, 10**9 + 7).items()) == 10**9 + 7 - 40_007
+    assert sum(x * n for x, n in fit_budget({9_001: 10**8, 59_999: 10**8}, 3 * 10**12 + 17).items()) == 3 * 10**12 + 17
+
+
+def test_repeats_are_part_of_the_knapsack():
+    random = np.random.default_rng(6)
+    for _ in range(60):
+        counts = {int(x): int(n) for x, n in zip(random.integers(3, 60, 4), random.integers(1, 4, 4), strict=True)}
+        budget, cap = int(random.integers(0, 500)), int(random.integers(1, 5))
+        uses = repeats_for(counts, budget, cap)
+        assert all(n <= counts[x] * cap for x, n in uses.items())
+        assert sum(x * n for x, n in uses.items()) == _best_sum({x: n * cap for x, n in counts.items()}, budget)
+    lengths = dict.fromkeys((187, 440, 676, 768, 808, 909, 966, 1776, 2197), 1)
+    assert sum(x * n for x, n in repeats_for(lengths, 13_560, 4).items()) == 13_560
+
+
 def test_budgets_keep_shares_and_caps():
     found = budgets({"a": 100, "b": 1000}, {"a": (0.5, 3), "b": (0.25, 1), "c": (0.25, 9)})
     assert found == {"a": 300, "b": 150}
@@ -234,8 +267,12 @@ def test_pack_and_mix(spark):
 
 def test_ranks_are_complete(spark):
     df = spark.range(1000).withColumn("k", F.when(F.col("id") < 800, 0).otherwise(F.col("id") % 5)).union(spark.createDataFrame([(1, 0), (1, 0)], "id bigint, k bigint"))
-    out = rank_within(df, ["k"], ["id"], buckets=8).toPandas()
-    assert all(sorted(g.rank_) == list(range(len(g))) for _, g in out.groupby("k"))
+    plan = spark.createDataFrame([(0, 0, 10, "a"), (0, 10, 700, "b"), (0, 790, 9999, "c")] + [(k, 0, 9999, "d") for k in range(1, 5)], "k bigint, first_rank bigint, end_rank bigint, run string")
+    out = place_by_rank(df, ["k"], ["id"], plan, buckets=8).toPandas()
+    ranks = {k: sorted(g.rank_) for k, g in out.groupby("k")}
+    size = df.where("k = 0").count()
+    assert ranks[0] == [*range(700), *range(790, size)] and all(r == list(range(len(r))) for k, r in ranks.items() if k)
+    assert (out[out.k == 0].groupby("run").size() == pd.Series({"a": 10, "b": 690, "c": size - 790})).all() and len(out) == df.count() - 90
 
 
 # --- 9 ---
