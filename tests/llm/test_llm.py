@@ -59,7 +59,7 @@ def test_canonical(spark):
     reference = spark.createDataFrame(REFERENCE, "alias string, canonical string")
     cases = {
         "Density.": "密度", "desnity": "密度", "melting_point": "熔点", "熔點": "熔点", "熔点（℃）": "熔点", "熔点 / degC": "熔点", "體積電阻率": "体积电阻率", "体积电组率, Ω·cm": "体积电阻率",
-        "光泽、色渡": "光泽、色度", "试样的密度": "密度", "平均密度": "密度", "密度测定值": "密度", "溶解性能": "溶解性", "TG": "玻璃化转变温度", "密度计编号": "(unmatched)", "page note": "(unmatched)", "湿度": "(unmatched)",
+        "光泽、色渡": "光泽、色度", "试样的密度": "密度", "平均密度": "(unmatched)", "密度测定值": "密度", "溶解性能": "溶解性", "TG": "玻璃化转变温度", "密度计编号": "(unmatched)", "page note": "(unmatched)", "湿度": "(unmatched)",
     }
     rows = [(i, None, t) for i, t in enumerate(cases)] + [(100, "熔点;密度", "密度"), (101, "", None), (102, "N/A", " "), (103, "密度值", "密度值"), (103, "密度值", "密度值")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "row_id bigint, predicate_raw string, attribute_name string, canonical string, raw int")
@@ -70,6 +70,16 @@ def test_canonical(spark):
     assert map_to_canonical(df.limit(0), reference).count() == 0
 
 
+def test_narrowed_names_need_proof(spark):
+    reference = spark.createDataFrame([("密度", "密度"), ("冲击强度", "冲击强度"), ("低温冲击强度", "低温冲击强度"), ("用途", "用途")], "alias string, canonical string")
+    rows = [(i, "密度", "密度", "g/cm3") for i in range(6)] + [(6, "用途", None, None), (7, "用途", None, None)]
+    rows += [(10, "平均密度", None, "ｋｇ/m³"), (11, "平均密度", None, None), (12, "堆积密度", "密度", None), (13, "电流密度", None, "MPa"), (14, "电流密度", None, "A/m2"), (15, "人口密度", None, None)]
+    rows += [(16, "低瘟冲击强度", None, None), (17, "典型用途", None, None), (18, None, "骨质密度", "℃"), (9, "密度", None, "kg/m3")]
+    df = spark.createDataFrame(rows, "row_id bigint, predicate_raw string, attribute_name string, `单位` string")
+    found = {(r.row_id, r.canonical) for r in map_to_canonical(df, reference).collect()}
+    assert found == {(10, "密度"), (11, "密度"), (12, "密度"), (13, "(unmatched)"), (14, "(unmatched)"), (15, "(unmatched)"), (16, "低温冲击强度"), (17, "用途"), (18, "(unmatched)")}
+
+
 def test_pigeonhole_against_brute_force(spark):
     random.seed(5)
     names = ["tensile strength", "thermal conductivity", "surface tension", "appearance", "curing time"]
