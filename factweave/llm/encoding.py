@@ -2,7 +2,8 @@
 
 A noisy channel: the bytes behind a suspicious span are laid out as a lattice, in which a replacement character is a wildcard for
 bytes that are lost; the right decoding is read off it by a Viterbi search under the frequencies of words and character pairs of
-the whole corpus. A span counts as damaged only if its decoding is more frequent there than what is written. The frequencies are
+the whole corpus. The decodings of all channels are arcs of one lattice beside the text as it is written; a span counts as damaged if
+the best path takes its decoding, which has to be more frequent in the corpus than what is written. The frequencies are
 counts in a table of fixed size, filled from all documents.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect, bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, pairwise
 
@@ -21,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.session import small_rows
-
 #: Slots of the frequency table; its size does not follow the corpus.
 SLOTS = 1 << 20
 #: How much more frequent (in nats a pair) a decoding has to be than what is written.
 GAIN = 1.2
-#: The same for a word of three letters.
+#: The same for a word of three letters or fewer.
 SHORT_GAIN = 4.2
 LOST = "\ufffd"
 
@@ -88,11 +87,7 @@ _PLAUSIBLE = re.compile("[\x00-\x7f\xa0-\xff\u0152\u0153\u0370-\u045f\u2010-\u22
 NON_ASCII = re.compile("[^\x00-\x7f]+")
 #: UTF-8 of the blocks that restored text may come from.
 _UTF8_UNIT = re.compile(rb"(?:[\xc2\xc3\xc5\xce-\xd1][\x80-\xbf]|\xe2[\x80-\x97][\x80-\xbf]|\xe3\x80[\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xbc-\xbf][\x80-\xbf])+")
-#: Two code points in a row of which one takes three bytes: rare in sound Chinese, everywhere in damaged text. Each pattern begins with
-#: one class of bytes, which makes the search for it quick.
-_LEADS = rb"\xc2\xc3\xc5\xce-\xd1\xe2-\xe9\xef"
-_SEQUENCES = (re.compile(rb"[\xe2-\xe9\xef][\x80-\xbf]{2}[" + _LEADS + rb"][\x80-\xbf]"), re.compile(rb"[\xc2\xc3\xc5\xce-\xd1][\x80-\xbf][\xe2-\xe9\xef][\x80-\xbf]{2}"))
-_LETTERS = re.compile(r"[^\W\d_\u2e80-\u9fff]{2,}")
+_LETTERS = re.compile(r"[^\W\d_\u2e80-\u9fff]+")
 #: Native filter: text of ASCII alone cannot be damaged in these ways.
 HAS_NON_ASCII = "[^\\x00-\\x7f]"
 
@@ -142,9 +137,9 @@ def corpus_frequencies(documents: DataFrame, text_col: str = "text") -> np.ndarr
 
     counted = documents.select(text_col).where(F.col(text_col).rlike(HAS_NON_ASCII)).mapInArrow(count, "slot int, n bigint")
     table = np.zeros(SLOTS, dtype=np.float32)
-    # pairs and words seen once say nothing; the number of rows is bounded by SLOTS
-    for r in small_rows(counted.groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1"), SLOTS):
-        table[r.slot] = r.n
+    # at most one row a slot, whatever the corpus
+    sums = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
     return table
 
 
@@ -166,7 +161,10 @@ class Model:
     SEEN = math.log(2.3)
 
     def __init__(self, table: np.ndarray) -> None:
-        self.logs = np.log(table + 0.3)
+        # what was seen once may be no more than the damage itself
+        self.logs = np.log(np.where(table > 1, table, 0) + 0.3)
+        #: How far apart the scores of two pairs can be.
+        self.reach = max(float(self.logs.max()), 0.0) - min(float(self.logs.min()), 0.0)
         self.shift = math.log(max(float(table.sum(dtype=np.float64)), 1.0) / self.PER)
         self._seen: dict[str, float] = {}
         self._words: dict[str, object] = {}
@@ -175,8 +173,8 @@ class Model:
         """A threshold for the size of this corpus; in a small one it asks for nothing beyond having been seen."""
         return max(threshold + self.shift, min(threshold, self.SEEN))
 
-    def remembered(self, word: str, judge):
-        """judge(word, self), kept at hand for words that come again."""
+    def remembered(self, word, judge):
+        """judge(word, self), kept at hand for words (or words in their place) that come again."""
         if word not in self._words:
             if len(self._words) > self.CACHE:
                 self._words.clear()
@@ -246,7 +244,9 @@ def viterbi_utf8(lattice: list[int | None], model: Model, before: str = " ") ->
     """
     best: list[dict[str, tuple[float, tuple]]] = [{before: (0.0, ())}, *({} for _ in range(_AHEAD))]
     for at in range(len(lattice)):
-        states = list(best[0].items()) if len(best[0]) <= 8 else sorted(best[0].items(), key=lambda kv: -kv[1][0])[:8]
+        # a state so far behind that no pair can make up for it leads nowhere: the next code point may as well follow the best one
+        least = max((x[0] for x in best[0].values()), default=0.0) - model.reach
+        states = [x for x in best[0].items() if x[1][0] >= least]
         found = _code_points(lattice[at : at + _AHEAD]) if states else []
         for last, (score, text) in states:
             for length, ch in found:
@@ -287,10 +287,29 @@ def _context(text: str, begin: int, end: int) -> tuple[str, str]:
 
 
 Span = tuple[int, int, str, str]
-
-
-def utf8_as_one_byte(text: str, model: Model) -> list[Span]:
-    spans = []
+#: A span and its margin: how much more frequent, in nats a pair, its decoding is than it has to be; below 0 the written text is the better path.
+Arc = tuple[float, Span]
+#: Margin of what is proven otherwise: by the encoding of the text around it, or by the mark of a lost character.
+PROVEN, MARKED = 0.05, 0.01
+
+
+def _one_byte_reading(key: tuple[str, str, str, str], model: Model) -> tuple[float, str] | None:
+    """(margin, decoding) of (written, code point before, code point behind, encoding) as UTF-8; None where it decodes to nothing that is text."""
+    written, left, right, codec = key
+    pattern = utf8_pattern(codec)
+    restored = bytes_read_as(written, codec).decode("utf-8", "replace")
+    while pattern.fullmatch(restored):  # damaged twice, if that reads better
+        again = bytes_read_as(restored, codec).decode("utf-8", "replace")
+        if LOST in again or not _PLAUSIBLE.fullmatch(again) or _better(model, restored, again, left, right) <= 0:
+            break
+        restored = again
+    if LOST in restored or not _PLAUSIBLE.fullmatch(restored):
+        return None
+    return _better(model, written, restored, left, right), restored
+
+
+def utf8_as_one_byte(text: str, model: Model) -> list[Arc]:
+    arcs = []
     present = set(text)
     for codec in ONE_BYTE:
         leads, tails = _leads_and_tails(codec)
@@ -300,20 +319,18 @@ def utf8_as_one_byte(text: str, model: Model) -> list[Span]:
         proven = 0
         regions = utf8_region(codec).finditer(text)
         for m in (m for region in regions for m in pattern.finditer(text, region.start(), region.end())):
-            restored = bytes_read_as(m[0], codec).decode("utf-8", "replace")
-            left, right = _context(text, m.start(), m.end())
-            while pattern.fullmatch(restored):  # damaged twice, if that reads better
-                again = bytes_read_as(restored, codec).decode("utf-8", "replace")
-                if LOST in again or not _PLAUSIBLE.fullmatch(again) or _better(model, restored, again, left, right) <= 0:
-                    break
-                restored = again
-            if LOST in restored or not _PLAUSIBLE.fullmatch(restored):
+            reading = model.remembered((m[0], *_context(text, *m.span()), codec), _one_byte_reading)
+            if reading is None:
                 continue
+            margin, restored = reading
             # once a text has proven the encoding three times, what fits it needs no further proof, a lone Han character apart
-            if proven >= 3 and (len(restored) > 1 or restored < "\u2e80") or _better(model, m[0], restored, left, right) > 0:
+            if margin > 0:
                 proven += 1
-                spans.append((m.start(), m.end(), restored, f"utf-8 as {codec}"))
-    return spans
+            elif proven >= 3 and (len(restored) > 1 or restored < "\u2e80"):
+                proven, margin = proven + 1, PROVEN
+            if margin > 0:
+                arcs.append((margin, (m.start(), m.end(), restored, f"utf-8 as {codec}")))
+    return arcs
 
 
 @lru_cache(maxsize=32)
@@ -323,26 +340,26 @@ def _holed_runs(codec: str) -> re.Pattern:
     return re.compile(f"[{leads}][{leads}{tail}]*{LOST}[{leads}{tail}{LOST}]*")
 
 
-def utf8_with_holes(text: str, model: Model) -> list[Span]:
+def utf8_with_holes(text: str, model: Model) -> list[Arc]:
     """UTF-8 read in a one-byte encoding that has no character for some of its bytes: the lattice with these as wildcards."""
     if LOST not in text:
         return []
-    best: dict[tuple[int, int], tuple[float, Span]] = {}
+    arcs = []
     for codec in HOLED:
+        table = byte_of(codec)
         for m in _holed_runs(codec).finditer(text):
-            table = byte_of(codec)
             restored = viterbi_utf8([None if c == LOST else table[c] for c in m[0]], model, text[m.start() - 1 : m.start()] or " ")
+            if LOST in restored or not _PLAUSIBLE.fullmatch(restored):
+                continue
             left, right = _context(text, m.start(), m.end())
             known = model.pairs(left + restored + right)
-            if LOST in restored or not _PLAUSIBLE.fullmatch(restored) or known <= model.least(1.0) or known - model.pairs(left + m[0].replace(LOST, "") + right) <= GAIN:
-                continue
-            if m.span() not in best or known > best[m.span()][0]:
-                best[m.span()] = (known, (m.start(), m.end(), restored, f"utf-8 as {codec}"))
-    return [span for _, span in best.values()]
+            margin = min(known - model.least(1.0), known - model.pairs(left + m[0].replace(LOST, "") + right) - GAIN)
+            arcs.append((margin, (m.start(), m.end(), restored, f"utf-8 as {codec}")))
+    return arcs
 
 
-def gbk_as_one_byte(text: str, model: Model) -> list[Span]:
-    spans = []
+def gbk_as_one_byte(text: str, model: Model) -> list[Arc]:
+    arcs = []
     for m in GBK_AS_LATIN.finditer(text):
         written = m[0]
         restored = bytes_read_as(written, "cp1252").decode("gb18030", "replace")
@@ -351,13 +368,13 @@ def gbk_as_one_byte(text: str, model: Model) -> list[Span]:
         left, right = _context(text, m.start(), m.end())
         gain = _better(model, written, restored.replace(LOST, ""), left, right)
         # one or two code points prove less than a run
-        if gain > (GAIN if len(restored) > 2 else 1.5 * GAIN) and model.pairs(left + restored + right) > model.least(0.5):
-            spans.append((m.start(), m.end(), restored, "gbk as one-byte"))
-    return spans
+        margin = min(gain - (GAIN if len(restored) > 2 else 1.5 * GAIN), model.pairs(left + restored + right) - model.least(0.5))
+        arcs.append((margin, (m.start(), m.end(), restored, "gbk as one-byte")))
+    return arcs
 
 
-def swapped_word(written: str, model: Model) -> tuple[str, str] | None:
-    """(decoding, channel) of a word written in one one-byte encoding and read in another, if the corpus knows the decoding far better."""
+def swapped_word(written: str, model: Model) -> tuple[float, str, str] | None:
+    """(margin, decoding, channel) of a word written in one one-byte encoding and read in another, if the corpus knows the decoding far better."""
     known = model.word(written)
     # three letters prove little: the decoding must be a frequent word, and far more so than what is written
     least = max(known + 2 * GAIN, model.least(1.5)) if len(written) > 3 else max(known + SHORT_GAIN, model.least(3.0))
@@ -371,22 +388,54 @@ def swapped_word(written: str, model: Model) -> tuple[str, str] | None:
             continue
         if not restored.isalpha() or restored[1:] != restored[1:].lower() or not _PLAUSIBLE.fullmatch(restored):
             continue
-        if model.word(restored) > least and model.pairs(restored) > model.pairs(written) + GAIN:
-            return restored, f"{right_codec} as {wrong_codec}"
+        margin = min(model.word(restored) - least, model.pairs(restored) - model.pairs(written) - GAIN)
+        if margin > 0:
+            return margin, restored, f"{right_codec} as {wrong_codec}"
     return None
 
 
-def swapped_one_byte(text: str, model: Model) -> list[Span]:
-    """Swapped words, and the short words beside them that fit the same channel at least as well as what is written."""
-    spans = []
+@lru_cache(maxsize=1)
+def _short_words() -> tuple[dict[str, dict[str, str]], re.Pattern]:
+    """For each swapped channel its letters and the small Cyrillic ones they may stand for, and words of one or two such letters."""
+    channels = {}
+    for right_codec, wrong_codec in SWAPPED:
+        letters = {}
+        for byte in range(0x80, 0x100):
+            shown, restored = (bytes([byte]).decode(codec, "replace") for codec in (wrong_codec, right_codec))
+            if shown.isalpha() and restored != shown and "\u0430" <= restored <= "\u044f":
+                letters[shown] = restored
+        channels[f"{right_codec} as {wrong_codec}"] = letters
+    known = "".join(sorted(set().union(*channels.values())))
+    return channels, re.compile(f"(?<![^\\W\\d_])[{known}]{{1,2}}(?![^\\W\\d_])")
+
+
+def _short_word(key: tuple[str, str, str, bool], model: Model) -> tuple[float, str, str] | None:
+    """(margin, decoding, channel) of (a word of one or two letters, code point before, code point behind, whether it stands among Cyrillic
+    words): of the decodings that fit its place far better than what is written, the one that is the most frequent word. A word of
+    another script among Cyrillic ones needs less proof."""
+    written, left, right, among = key
+    in_place = model.pairs(left + written + right)
+    need = 2 * GAIN if among and written[0] < "\u0400" else SHORT_GAIN
+    found = []
+    for channel, letters in _short_words()[0].items():
+        restored = "".join(letters.get(c, "") for c in written)
+        if len(restored) == len(written):
+            margin = min(model.pairs(left + restored + right) - in_place - need, model.word(restored) - model.least(3.0))
+            found.append((margin > 0, model.word(restored), margin, restored, channel))
+    best = max(found, default=(False,))
+    return best[2:] if best[0] else None
+
+
+def swapped_one_byte(text: str, model: Model) -> list[Arc]:
+    """Swapped words, the short words beside them that fit the same channel at least as well as what is written, and lone short words."""
+    arcs = []
     for m in _SWAP_WORD.finditer(text):
         found = model.remembered(m[0], swapped_word)
         if found:
-            spans.append((m.start(), m.end(), *found))
-    if not spans:
-        return spans
-    words = [(m.start(), m.end()) for m in NON_ASCII.finditer(text)]
-    channels = {(a, b): channel for a, b, _, channel in spans}
+            arcs.append((found[0], (m.start(), m.end(), *found[1:])))
+    words = [(m.start(), m.end()) for m in NON_ASCII.finditer(text)] if arcs else []
+    settled = {span[0] for _, span in arcs}
+    channels = {(a, b): channel for _, (a, b, _, channel) in arcs}
     for i, (a, b) in enumerate(words):
         near = {channels.get(words[j]) for j in (i - 1, i + 1) if 0 <= j < len(words)} - {None}
         if (a, b) in channels or b - a > 3 or not near:
@@ -399,9 +448,18 @@ def swapped_one_byte(text: str, model: Model) -> list[Span]:
             except (KeyError, UnicodeDecodeError):
                 continue
             if restored.isalpha() and restored == restored.lower() and _PLAUSIBLE.fullmatch(restored) and (b - a == 1 or model.word(restored) >= model.word(text[a:b])):
-                spans.append((a, b, restored, channel))
+                arcs.append((PROVEN, (a, b, restored, channel)))
+                settled.add(a)
                 break
-    return spans
+    for m in _short_words()[1].finditer(text):
+        begin, end = m.span()
+        if begin in settled:
+            continue
+        among = "\u0400" <= text[begin - 2 : begin - 1] <= "\u04ff" and "\u0400" <= text[end + 1 : end + 2] <= "\u04ff"
+        found = model.remembered((m[0], *_context(text, begin, end), among), _short_word)
+        if found:
+            arcs.append((found[0], (m.start(), m.end(), *found[1:])))
+    return arcs
 
 
 @lru_cache(maxsize=1)
@@ -416,37 +474,40 @@ def _two_byte_runs() -> tuple[dict[str, str], re.Pattern]:
     return shown, re.compile("[" + "".join(map(re.escape, shown)) + "]+")
 
 
+def _shown(leads: Iterable[int], tails: Iterable[int]) -> str:
+    """The characters that GBK shows for two bytes of these sets, as a class of a pattern."""
+    both = (bytes([a, b]).decode("gb18030", "replace") for a in leads for b in tails)
+    return "".join(re.escape(c) for c in both if len(c) == 1 and c != LOST)
+
+
 @lru_cache(maxsize=1)
-def _lone_units() -> re.Pattern:
-    """The two characters GBK shows for a code point of three bytes and the ASCII byte it swallows."""
-    leads = [bytes([0xE2, x]) for x in range(0x80, 0x98)] + [b"\xe3\x80"] + [bytes([x, y]) for x in (*range(0xE4, 0xEA), 0xEF) for y in range(0x80, 0xC0) if x < 0xEF or y >= 0xBC]
-    tails = [bytes([x, y]) for x in range(0x80, 0xC0) for y in range(0x40, 0x7F)]
-    shown = lambda pairs: "".join(re.escape(c) for c in (b.decode("gb18030", "replace") for b in pairs) if len(c) == 1 and c != LOST)
-    return re.compile(f"[{shown(leads)}][{shown(tails)}]")
+def _three_byte_units() -> re.Pattern:
+    """What GBK shows for a code point of three bytes: two characters, the first of which holds its first two bytes. The second ends
+    with an ASCII byte that it swallowed, or with the lead of a further code point, whose tail begins the next character."""
+    trail = range(0x80, 0xC0)
+    leads = (0xC2, 0xC3, 0xC5, *range(0xCE, 0xD2), *range(0xE2, 0xEA), 0xEF)
+    first = _shown((0xE2,), range(0x80, 0x98)) + _shown((0xE3,), (0x80,)) + _shown(range(0xE4, 0xEA), trail) + _shown((0xEF,), range(0xBC, 0xC0))
+    return re.compile(f"[{first}](?:[{_shown(trail, range(0x40, 0x7F))}]|[{_shown(trail, leads)}][{_shown(trail, range(0x40, 0xFF))}])")
 
 
 def may_be_utf8_as_gbk(text: str, model: Model) -> bool:
-    """A quick test that no text with such a span fails: lost characters, a sequence of code points, a lone one of three bytes with the
-    ASCII byte it swallows, or a run of two-byte code points that would be known in its place."""
-    if LOST in text:
-        return True
-    try:
-        raw = text.encode("gb18030")
-        if any(s.search(raw) for s in _SEQUENCES) or _lone_units().search(text):
-            return True
-    except UnicodeEncodeError:
+    """A quick test that no text with such a span fails. Text that was read as GBK begins with the first byte of a character, so that
+    its code points lie in few ways on the characters: one of three bytes and what follows it, or a run of code points of two bytes
+    that would be known in its place. Where characters are lost, anything may stand."""
+    if LOST in text or _three_byte_units().search(text):
         return True
     shown, runs = _two_byte_runs()
     for m in runs.finditer(text):
         left, right = _context(text, m.start(), m.end())
-        if model.pairs(left + "".join(map(shown.get, m[0])) + right) > model.least(0.0 if len(m[0]) > 4 else 1.0):
+        known = model.pairs(left + "".join(map(shown.get, m[0])) + right)
+        if known > model.least(0.0 if len(m[0]) > 4 else 1.0) and known - model.pairs(left + m[0] + right) > (GAIN if len(m[0]) > 2 else 2 * GAIN):
             return True
     return False
 
 
-def utf8_as_gbk(text: str, model: Model) -> list[Span]:
+def utf8_as_gbk(text: str, model: Model) -> list[Arc]:
     """Spans of UTF-8 read as GBK; an ASCII byte that the last code point swallowed is given back."""
-    spans: list[Span] = []
+    spans: list[Arc] = []
     for run in NON_ASCII.finditer(text):
         chars = run[0]
         try:
@@ -495,63 +556,71 @@ def utf8_as_gbk(text: str, model: Model) -> list[Span]:
                 right = right if unit.end() == widths[end] or swallowed else ""
             gain = _better(model, written, restored + swallowed, left, right)
             need = GAIN if len(restored) > 2 else 2 * GAIN
-            if gain > need and model.pairs(left + restored + swallowed + right) > model.least(0.0 if len(restored) > 4 else 1.0):
-                spans.append((run.start() + begin, run.start() + end, restored + swallowed, "utf-8 as gbk"))
+            margin = min(gain - need, model.pairs(left + restored + swallowed + right) - model.least(0.0 if len(restored) > 4 else 1.0))
+            if margin > 0:
+                spans.append((margin, (run.start() + begin, run.start() + end, restored + swallowed, "utf-8 as gbk")))
                 last = end
     return spans
 
 
-def _joined(text: str, spans: list[Span], model: Model) -> list[Span]:
-    """Neighbouring spans of UTF-8 read as GBK and the wildcards between them, decoded once more as one lattice."""
-    out: list[Span] = []
+def _joined(text: str, arcs: list[Arc], model: Model) -> list[Arc]:
+    """Neighbouring spans of UTF-8 read as GBK and the wildcards between them, decoded once more as one lattice: further arcs."""
+    out = list(arcs)
+    spans = sorted(span for _, span in arcs)
     at = 0
-    spans = sorted(spans)
     while at < len(spans):
         first = last = at
-        while last + 1 < len(spans) and spans[last + 1][0] - spans[last][1] <= 3 and spans[last + 1][3] == spans[first][3] == "utf-8 as gbk" and text[spans[last][1] : spans[last + 1][0]].strip(" \n") != "":
+        while last + 1 < len(spans) and spans[last + 1][0] - spans[last][1] <= 3 and text[spans[last][1] : spans[last + 1][0]].strip(" \n") != "":
             last += 1
         begin, end = spans[first][0], spans[last][1]
-        if spans[first][3] == "utf-8 as gbk":
-            while end < len(text) and text[end] == LOST:
-                end += 1
-            written = text[begin:end]
-            if last > first or LOST in written:
-                restored = viterbi_utf8(_gbk_lattice(written), model, text[begin - 1 : begin] or " ")
-                if restored.count(LOST) * 3 <= len(restored) and model.pairs(restored.replace(LOST, "")) > model.pairs(written.replace(LOST, "")) + GAIN / 2:
-                    out.append((begin, end, restored, spans[first][3]))
-                    at = last + 1
-                    continue
-        out += spans[first : last + 1]
+        while end < len(text) and text[end] == LOST:
+            end += 1
+        written = text[begin:end]
+        if last > first or LOST in written:
+            restored = viterbi_utf8(_gbk_lattice(written), model, text[begin - 1 : begin] or " ")
+            if restored.count(LOST) * 3 <= len(restored):
+                margin = model.pairs(restored.replace(LOST, "")) - model.pairs(written.replace(LOST, "")) - GAIN / 2
+                out.append((margin, (begin, end, restored, spans[first][3])))
         at = last + 1
     return out
 
 
+def best_path(arcs: list[Arc]) -> list[Span]:
+    """The spans on the best path through a text, by Viterbi search: from each place the written text goes on at no gain, and every arc
+    leads to its end with its margin for each character. Of paths equally good the one of fewer arcs is taken."""
+    ways: dict[int, list[Arc]] = {}
+    for margin, span in arcs:
+        if margin > 0:
+            ways.setdefault(span[1], []).append((margin, span))
+    ends: list[int] = []
+    best: list[tuple[float, int, Span | None, int]] = [(0.0, 0, None, 0)]
+    for end in sorted(ways):
+        found = (best[-1][0], best[-1][1], None, len(best) - 1)
+        for margin, span in ways[end]:
+            before = bisect(ends, span[0])
+            score, steps = best[before][0] + margin * (end - span[0]), best[before][1] - 1
+            if (score, steps) > found[:2]:
+                found = (score, steps, span, before)
+        ends.append(end)
+        best.append(found)
+    path, at = [], len(best) - 1
+    while at:
+        _, _, span, before = best[at]
+        if span is not None:
+            path.append(span)
+        at = before
+    return path[::-1]
+
+
 def damaged_spans(text: str, model: Model) -> list[Span]:
-    """(begin, end, restored, channel) of all damaged spans, in order and without overlap; what is lost stays the replacement character."""
-    spans: list[Span] = []
-    taken: list[tuple[int, int]] = []
-    at: list[int] = []
-
-    def free(a: int, b: int) -> bool:
-        i = bisect(at, a)
-        return (i == 0 or taken[i - 1][1] <= a) and (i == len(at) or taken[i][0] >= b)
-
-    def take(span: Span) -> None:
-        i = bisect(at, span[0])
-        at.insert(i, span[0])
-        taken.insert(i, (span[0], span[1]))
-        spans.append(span)
-
-    through_gbk = utf8_as_gbk(text, model) if may_be_utf8_as_gbk(text, model) else []
-    candidates = utf8_as_one_byte(text, model) + utf8_with_holes(text, model) + _joined(text, through_gbk, model) + gbk_as_one_byte(text, model) + swapped_one_byte(text, model)
-    # the longer a span is, the less likely it fits by chance
-    for span in sorted(candidates, key=lambda x: (x[0] - x[1], x[0])):
-        if free(span[0], span[1]):
-            take(span)
-    for m in REPLACED.finditer(text):
-        if free(m.start(), m.end()):
-            take((m.start(), m.end(), LOST, "lost"))
-    return sorted(spans)
+    """(begin, end, restored, channel) of all damaged spans, in order and without overlap; what is lost stays the replacement character.
+
+    All decodings of all channels are arcs of one lattice beside the written text; what the best path decodes is damaged.
+    """
+    arcs = _joined(text, utf8_as_gbk(text, model), model) if may_be_utf8_as_gbk(text, model) else []
+    arcs += utf8_as_one_byte(text, model) + utf8_with_holes(text, model) + gbk_as_one_byte(text, model) + swapped_one_byte(text, model)
+    arcs += [(MARKED, (m.start(), m.end(), LOST, "lost")) for m in REPLACED.finditer(text)]
+    return best_path(arcs)
 
 
 def restore(text: str, spans: list[Span]) -> str:

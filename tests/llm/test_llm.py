@@ -346,7 +346,33 @@ def test_lost_bytes_come_back_in_spans_of_any_length():
 def test_judgement_follows_shares_not_counts():
     damaged = "при".encode("cp1251").decode("cp866")
     model = model_of(["образец при температуре"] * 400 + [f"x {damaged} y"] * 3)
-    assert E.swapped_word(damaged, model) == ("при", "cp1251 as cp866")
+    assert E.swapped_word(damaged, model)[1:] == ("при", "cp1251 as cp866")
     large, larger = (E.Model(np.full(E.SLOTS, n, dtype=np.float32)) for n in (500, 5000))
     assert round(larger.least(1.0) - large.least(1.0), 6) == round(np.log(10), 6)
     assert model.least(1.0) < 1.0
+
+
+def test_a_lone_letter_among_cyrillic_words():
+    model = model_of(["хранят в сухом месте, в тени и в холоде", "il est à sec", "l’âge est"] * 60)
+    damaged = "образцы хранят â сухом месте"
+    assert E.restore(damaged, E.damaged_spans(damaged, model)) == "образцы хранят в сухом месте"
+    assert E.damaged_spans("il est à sec, хранят в сухом", model) == []
+
+
+def test_the_best_path_decides():
+    arcs = [(0.5, (0, 4, "a", "x")), (1.0, (3, 6, "b", "y")), (-1.0, (10, 20, "c", "x")), (0.01, (6, 7, "d", "lost")), (0.4, (4, 7, "e", "x"))]
+    assert E.best_path(arcs) == [(0, 4, "a", "x"), (4, 7, "e", "x")] and E.best_path([]) == []
+    # without what the corpus says the written text is as good as any decoding
+    flat = E.Model(np.zeros(E.SLOTS, dtype=np.float32))
+    damaged = CLEAN[0].encode("utf-8").decode("mac_roman")
+    assert E.damaged_spans(damaged, flat) == [] and E.damaged_spans(damaged, model_of(CLEAN * 30))
+
+
+def test_pruning_of_states_is_exact():
+    model = model_of(CLEAN * 30)
+    free = model_of(CLEAN * 30)
+    free.reach = 1e9
+    random.seed(3)
+    for text in CLEAN[:4]:
+        lattice = [None if random.random() < 0.12 else b for b in text.encode("utf-8")]
+        assert E.viterbi_utf8(lattice, model) == E.viterbi_utf8(lattice, free)
