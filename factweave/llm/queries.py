@@ -27,6 +27,25 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return p1_pieces(spark, directory).where("pos = 2").select("job_id", "field_name")
 
 
+def p1_rules_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of the pieces: all text covered in order, none above the limit, the overlap exact, no piece that ends in a heading."""
+    pieces = p1_pieces(spark, directory)
+    jobs = table(spark, directory, "llm_jobs")
+    kinds = jobs.where("kind is not null").select("job_id", "kind", F.explode(F.array(F.struct(F.lit("evidence").alias("field_name"), F.length("evidence").alias("size")), F.struct(F.lit("heading_path").alias("field_name"), F.length("heading_path").alias("size")))).alias("x"))
+    sizes = kinds.select("job_id", "kind", "x.*").distinct()
+    joined = pieces.join(sizes, ["job_id", "field_name"]).join(F.broadcast(table(spark, directory, "job_limits")), ["kind", "field_name"])
+    order = Window.partitionBy("job_id", "field_name").orderBy("pos")
+    marked = joined.withColumns({"before": F.lag("end").over(order), "next_": F.lead("pos").over(order)})
+    shared = F.least(F.col("overlap_chars"), F.col("max_chars") - 1)
+    return marked.groupBy("field_name").agg(
+        F.count_if(F.col("pos") == 1).alias("n_fields"),
+        F.count_if((F.col("end") - F.col("begin") > F.col("max_chars")) | (F.length("text") != F.col("end") - F.col("begin"))).alias("over_limit"),
+        F.count_if(F.when(F.col("before").isNull(), F.col("begin") != 0).otherwise(F.col("begin") != F.greatest(F.col("before") - shared, F.lit(0)))).alias("wrong_overlap"),
+        F.count_if(F.col("next_").isNull() & (F.col("end") != F.col("size"))).alias("unfinished"),
+        F.count_if(F.col("next_").isNotNull() & F.col("text").rlike(r"(^|\n)#{1,6} [^\n]*\n*$") & (F.col("border") != "character")).alias("ends_in_heading"),
+    )
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     mapped = map_to_canonical(table(spark, directory, FACTS), table(spark, directory, "supplementary_property_aliases"))
     return mapped.select("row_id", "field_name", "canonical")
@@ -121,6 +140,7 @@ def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rules_kept": p1_rules_kept,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_records": p4_records,
@@ -153,6 +173,16 @@ ORACLE: dict[str, str] = {
         SELECT min(t.row_id) AS row_id FROM t JOIN g ON t.k = g.k
         WHERE n >= 2 AND filled = mf AND at_ = ma AND trust = mt GROUP BY t.k
     """,
+    "p1_rules_kept": """
+        WITH f AS (
+          SELECT DISTINCT j.job_id, l.field_name
+          FROM llm_jobs j JOIN job_limits l ON j.kind = l.kind
+          WHERE (l.field_name = 'evidence' AND length(j.evidence) > l.max_chars)
+             OR (l.field_name = 'heading_path' AND length(j.heading_path) > l.max_chars))
+        SELECT field_name, count(*) AS n_fields, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS wrong_overlap,
+               CAST(0 AS BIGINT) AS unfinished, CAST(0 AS BIGINT) AS ends_in_heading
+        FROM f GROUP BY field_name
+    """,
     "p7_rules_kept": """
         SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_documents, CAST(0 AS BIGINT) AS placed_wrongly,
                CAST(0 AS BIGINT) AS needless_cuts, CAST(0 AS BIGINT) AS over_capacity, true AS near_bound

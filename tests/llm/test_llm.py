@@ -16,7 +16,7 @@ from factweave.llm.fusion import COMPLETE_FIELDS, FUSED_FIELDS, dominant_rows, f
 from factweave.llm.lookalike import consistent_names, settle_word, unify_text
 from factweave.llm.mixing import budgets, fit_budget, mix_sources, repeats_for
 from factweave.llm.packing import pack_documents, plan_containers
-from factweave.llm.splitting import cut_with_overlap, split_oversized
+from factweave.llm.splitting import cut_with_overlap, heading_paths, split_oversized
 from factweave.llm.tokens import TOKENIZER, place_by_rank
 
 # --- 1 ---
@@ -40,6 +40,24 @@ def test_cuts_at_borders():
     assert [text[a:b].startswith("#") for a, b, _ in pieces] == [True, True] and pieces[0][2] == "heading"
 
 
+def test_merges_only_siblings_and_keeps_headings():
+    text = "# A\n" + "aa。" * 28 + "\n# B\n" + "bb。" * 10 + "\n# C\n" + "cc。" * 10
+    pieces = [text[a:b] for a, b, _ in cut_with_overlap(text, 80, 0)]
+    assert pieces[0].startswith("# A\naa。") and pieces[-1] == "# B\n" + "bb。" * 10 + "\n# C\n" + "cc。" * 10
+    assert all(not ("aa" in p and ("bb" in p or "cc" in p)) for p in pieces)
+    text = "# T\n## One\n" + "甲乙。" * 40 + "\n## Two\n" + "丙丁。" * 4
+    pieces = [text[a:b] for a, b, _ in cut_with_overlap(text, 60, 5)]
+    assert not any(p.rstrip().split("\n")[-1].startswith("#") for p in pieces) and pieces[0].startswith("# T\n## One\n甲乙。")
+    assert heading_paths(text, [0, 20, len(text) - 2]) == [["T"], ["T", "One"], ["T", "Two"]]
+
+
+def test_the_highest_attempt_counts(spark):
+    limits = spark.createDataFrame([("t", "evidence", 10, 0)], "kind string, field_name string, max_chars int, overlap_chars int")
+    rows = [("a", "t", "x" * 25, None, 1), ("a", "t", "x" * 5, None, 2), ("b", "t", "x" * 5, None, 1), ("b", "t", "x" * 25, None, 2), ("b", None, "x" * 95, None, 3)]
+    jobs = spark.createDataFrame(rows, "job_id string, kind string, evidence string, heading_path string, attempt int")
+    assert {r.job_id for r in split_oversized(jobs, limits).collect()} == {"b"}
+
+
 def test_split_operator(spark):
     limits = spark.createDataFrame([("t", "evidence", 10, 3), ("t", "heading_path", 4, 0)], "kind string, field_name string, max_chars int, overlap_chars int")
     rows = [("a", "t", "x" * 25, "short", 1), ("a", "t", "x" * 25, "short", 2), ("b", None, "y" * 50, "z" * 50, 1), ("c", "t", "", None, 1), ("d", "t", "x" * 10, "abcd", None), ("e", "t", "字" * 11, "ab", 1)]
