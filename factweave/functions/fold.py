@@ -13,10 +13,14 @@ LOOKALIKE_TO = "ABESIJKMHOPCTXaesijopcyxABEZHIKMNOPTYXov'"
 SIGN_FROM = "‐‑‒–−－∕⁄⋅∙•・µ∶"
 SIGN_TO = "------//····μ:"
 
+# All code points that can change: the basic plane without surrogates, musical format characters, compatibility
+# ideographs, and tags and variation selectors of the special-purpose plane.
+FOLDED_PLANES = (*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200))
+
 
 def is_invisible(ch: str) -> bool:
     """Format characters and variation selectors; line breaks and tabs are visible structure."""
-    return unicodedata.category(ch) == "Cf" or "︀" <= ch <= "️" or ch in "͏ᅟᅠㅤﾠ"
+    return unicodedata.category(ch) == "Cf" or "︀" <= ch <= "️" or "\U000e0100" <= ch <= "\U000e01ef" or ch in "͏ᅟᅠㅤﾠ"
 
 
 def fold_char(ch: str) -> str:
@@ -40,11 +44,9 @@ def fold_char(ch: str) -> str:
 
 @lru_cache(maxsize=1)
 def fold_table() -> dict[int, str]:
-    """str.translate table over the basic plane, only the code points that change; look-alike letters are left alone."""
+    """str.translate table over all planes, only the code points that change; look-alike letters are left alone."""
     table = {}
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code < 0xE000:
-            continue
+    for code in FOLDED_PLANES:
         ch = chr(code)
         folded = fold_char(ch)
         if folded != ch:

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "factweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,11 +32,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names in spark.checkpoint.dir; a local folder only where none is set."""
+    """Checkpoint into the shared folder the cluster names in spark.checkpoint.dir. Where none is set, a session on one machine uses a
+    temporary folder; on a cluster that is an error, as executors do not share such a folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "factweave-checkpoint"))
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+            folder = os.path.join(tempfile.gettempdir(), "factweave-checkpoint")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -45,3 +51,11 @@ def small_rows(df: DataFrame, limit: int = 100_000) -> list:
     if len(rows) > limit:
         raise ValueError(f"table of more than {limit} rows where a small one was expected")
     return rows
+
+
+def spread_join(rows: DataFrame, mapping: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined to a mapping that has one row a key, where one key may hold a third of all rows: rows are told apart by a hash of the
+    column `by`, and the mapping is there once for each of the `salts` values of it."""
+    told = rows.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copied = mapping.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return told.join(copied, [key, "salt_"], how).drop("salt_")
