@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factweave.llm import encoding as E
 from factweave.llm.canonical import map_to_canonical
 from factweave.llm.fusion import COMPLETE_FIELDS, FUSED_FIELDS, dominant_rows, fuse_records
-from factweave.llm.lookalike import consistent_names, settle_word, unify_text
+from factweave.llm.lookalike import consistent_names, rewrite_rules, settle_word, unify_text
 from factweave.llm.mixing import budgets, fit_budget, mix_sources, repeats_for
 from factweave.llm.packing import pack_documents, plan_containers
 from factweave.llm.splitting import cut_with_overlap, heading_paths, split_oversized
@@ -180,6 +180,23 @@ def test_lookalikes(spark):
     assert unify_text(df.limit(0), registry).count() == 0
 
 
+def test_confusables_of_all_planes(spark):
+    registry = spark.createDataFrame([("Ormalit", ["Ormal-it", "ORMALIT"]), ("Zed", ["ormalit"])], "canonical string, aliases array<string>")
+    cases = {"𝐀b𝟏": "Ab1", "ɡel": "gel", "Ꭺcid": "Acid", "ꓮcid": "Acid", "ﬁlm": "film", "Ａ１": "A1", "α-x": "α-x", "Ⅱ ① ℃": "Ⅱ ① ℃", "œuvre": "œuvre", "е\u0301": "é"}
+    df = spark.createDataFrame([(i, None, t, None) for i, t in enumerate(cases)], "row_id bigint, `主体名称` string, `尾实体/取值文本` string, `单位` string")
+    found = {r.row_id: r.unified for r in unify_text(df, registry).collect()}
+    wanted = {i: u for i, (t, u) in enumerate(cases.items()) if t != u}
+    assert {i: u for i, u in found.items() if i < 9} == {i: u for i, u in wanted.items() if i < 9}
+    names = spark.createDataFrame([(1, "ormal-it"), (1, "Ormalit"), (2, "Neu X"), (3, "Neu X"), (4, "neu x"), (5, ""), (6, None)], "row_id bigint, `主体名称` string")
+    assert sorted(consistent_names(names, registry).collect()) == [(1, "Ormalit"), (1, "Ormalit"), (2, "Neu X"), (3, "Neu X"), (4, "Neu X")]
+
+
+def test_the_corpus_chooses_among_plain_members():
+    looks = (("ꓲ", "l"), ("Ⲟ", "O"))
+    assert rewrite_rules({"l": 9, "I": 1, "1": 1}, looks)["ꓲ"] != rewrite_rules({"l": 1, "I": 9, "1": 1}, looks)["ꓲ"]
+    assert rewrite_rules({"0": 100, "O": 1}, looks)["Ⲟ"] == "O" and rewrite_rules({}, looks)["１"] == "1"
+
+
 # --- 7, 8 ---
 
 
