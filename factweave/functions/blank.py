@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words and marks that stand for a missing value, folded and in lower case.
 BLANK_WORDS = ("", "-", "--", "—", "——", "/", "\\", "n/a", "na", "null", "none", "nan", "无", "暂缺", "待补", "未知", "空", "?")
 
-EMPTY = r"^[\s\p{Z}\p{Cf}]*$"
-RIM = r"^[\s\p{Z}\p{Cf}]|[\s\p{Z}\p{Cf}]$|\p{Cf}"
+_RIM = r"[\s\p{Z}\p{Cf}]*"
+#: One anchored pattern for all of them, with white space and unseen characters around, and the latter inside; text of another kind fails it at
+#: its first characters.
+BLANK = "(?i)^" + _RIM + "(?:" + "|".join(r"\p{Cf}*".join(map(re.escape, word)) for word in BLANK_WORDS) + ")" + _RIM + "$"
 
 
 def plain(column: Column) -> Column:
@@ -19,9 +23,7 @@ def plain(column: Column) -> Column:
 
 def is_blank(column: Column) -> Column:
     """True for null, empty text and placeholder words."""
-    # most values are told by one look-up; only those with white space or unseen characters at a rim are brought to their plain form
-    rim = column.rlike(RIM) & (F.length(column) <= 24) & F.lower(plain(column)).isin(*BLANK_WORDS)
-    return column.isNull() | F.lower(column).isin(*BLANK_WORDS) | rim | ((F.length(column) > 24) & column.rlike(EMPTY))
+    return column.isNull() | column.rlike(BLANK)
 
 
 def filled(column: Column) -> Column:
