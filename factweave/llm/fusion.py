@@ -26,19 +26,22 @@ FUSED_FIELDS = (*COMPLETE_FIELDS, "主体名称", "attribute_name", "尾实体/
 
 #: Prior of a dependence, share of values a copier takes over, number of wrong values a field can have.
 DEPENDENCE, COPIED, WRONG_VALUES = 0.1, 0.8, 20
-ROUNDS = 4
+#: Rounds of estimation at most, and the change of an accuracy below which it ends.
+ROUNDS, SETTLED = 12, 1e-3
 #: Keys of more rows than this are grouped by value before they are grouped by key.
 HOT = 4096
-_PATTERN = pa.schema([("masks", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("n", pa.int64())])
+_PATTERN = pa.schema([("masks", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n", pa.int64())])
 #: Stands for a missing time while rows are compared.
 OLDEST = "0001-01-01"
-#: Sources are numbered in a bit mask; the reference table of sources is fixed and far smaller.
-MAX_SOURCES = 16
+#: Sources are numbered in a bit mask of 64 bits.
+MAX_SOURCES = 62
 
 
 def group_key(column: Column) -> Column:
     """The 40 hex digits of a key, however it is written; null where there are none."""
-    found = F.regexp_extract(F.lower(plain(column)), r"(?:^|[^0-9a-f])([0-9a-f]{40})$", 1)
+    # most keys are plain ASCII; only the others may hold characters that cannot be seen
+    text = F.when(column.rlike(r"[^\x00-\x7f]"), plain(column)).otherwise(column)
+    found = F.regexp_extract(F.lower(text), r"(?:^|[^0-9a-f])([0-9a-f]{40})\s*$", 1)
     return F.when(found != "", found)
 
 
@@ -122,7 +125,10 @@ def estimate_sources(patterns: DataFrame, prior: dict[int, float]) -> tuple[dict
             if r.a == r.b:
                 new_accuracy[r.a] = _clamp((r.same_right + 10 * prior[r.a]) / (r.same_right + r.same_wrong + 10))
         dependence = {(r.a, r.b): dependence_of(new_accuracy[r.a], new_accuracy[r.b], r.same_right, r.same_wrong, r.different) for r in rows if r.a != r.b}
+        moved = max((abs(new_accuracy[s] - accuracy[s]) for s in accuracy), default=0.0)
         accuracy = new_accuracy
+        if moved < SETTLED:
+            break
     return accuracy, dependence
 
 
@@ -174,7 +180,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], at_least: int = 20_000) ->
 
 def _patterns_of(batches: Iterator[pa.RecordBatch], n_fields: int) -> Iterator[pd.DataFrame]:
     """Claim patterns of whole groups and how many fields show each; hashes stand for the values, 0 for a missing one."""
-    single = np.zeros(1 << MAX_SOURCES, dtype=np.int64)
+    single: Counter = Counter()
     several: Counter = Counter()
     for table in _whole_groups(batches):
         groups = _Groups(table, n_fields)
@@ -184,13 +190,14 @@ def _patterns_of(batches: Iterator[pa.RecordBatch], n_fields: int) -> Iterator[p
             _, _, owner, mask = groups.claims(field, codes, codes == 0)
             per = np.bincount(owner, minlength=len(groups.begin))
             alone = per[owner] == 1
-            single += np.bincount(mask[alone], minlength=len(single))
+            for m, n in zip(*np.unique(mask[alone], return_counts=True), strict=True):
+                single[int(m)] += int(n)
             at = np.flatnonzero(~alone)
             if len(at):
                 cuts = np.flatnonzero(np.concatenate(([True], owner[at][1:] != owner[at][:-1])))
                 for members in np.split(mask[at], cuts[1:]):
                     several[tuple(np.sort(members).tolist())] += 1
-    found = [([m], [1], int(single[m])) for m in np.flatnonzero(single)]
+    found = [([m], [1], n) for m, n in single.items()]
     for members, n in several.items():
         counted = Counter(members)
         found.append((list(counted), list(counted.values()), n))
@@ -272,7 +279,7 @@ def _spread_base(rows: DataFrame) -> DataFrame:
 def _spread_claims(rows: DataFrame, n_fields: int) -> DataFrame:
     """One row per distinct value of a field of a key, grouped by the value too, so that a large key is spread over all tasks."""
     return (
-        rows.select("group_key", "id_", F.expr("shiftleft(1, source)").alias("bit"), "recent", F.posexplode("vals").alias("field", "value"))
+        rows.select("group_key", "id_", F.expr("shiftleft(1L, source)").alias("bit"), "recent", F.posexplode("vals").alias("field", "value"))
         .where("value is not null")
         .groupBy("group_key", "field", "value")
         .agg(F.bit_or("bit").alias("mask"), F.max("recent").alias("recent"), F.min("id_").alias("first_id"))
@@ -295,7 +302,8 @@ def fuse_records(
     is at least as good as every other row of its group in each of the three. values holds the value of highest posterior of each
     field that any row fills (ties: the latest, then the one of the smallest id). Rows without a key belong to no group and give
     none; placeholders count as missing; a missing time is the oldest and an unknown source the least trusted. Repeated ids count
-    as rows of their own. ids are integers; the table of sources is small and fixed.
+    as rows of their own. ids are integers. Sources the table of trust does not name are estimated each by itself, as many as the mask of
+    sources has room for; beyond these, and where the source is missing, rows share one further source.
 
     Keys of up to HOT rows are brought together by one shuffle and worked on batch by batch as sorted arrays. Larger keys take
     another way: values are grouped before keys, so that a key with a third of all rows is spread over all tasks.
@@ -303,13 +311,17 @@ def fuse_records(
     ranked = sorted((r.source_type, r.trust) for r in small_rows(trust.groupBy("source_type").agg(F.max("trust").alias("trust"))) if r.source_type)
     if len(ranked) >= MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES - 1} sources")
+    # sources that the table of trust does not know are sources of their own, the most frequent first, as far as the mask reaches
+    kind = source_key(F.col(f"`{source_col}`"))
+    others = facts.groupBy(F.col(f"`{source_col}`").alias("s")).agg(F.count("*").alias("n")).groupBy(source_key(F.col("s")).alias("s")).agg(F.sum("n").alias("n"))
+    others = others.where(F.col("s").isNotNull() & (F.col("s") != "") & ~F.col("s").isin([name for name, _ in ranked]))
+    ranked += [(r.s, None) for r in others.orderBy(F.desc("n"), "s").limit(MAX_SOURCES - 1 - len(ranked)).collect()]
     fields = (*complete_fields, *[f for f in fields if f not in complete_fields])
     n_fields = len(fields)
     most = max([t or 0 for _, t in ranked], default=0) or 1
     prior = {i: _clamp(0.5 + 0.4 * (t or 0) / most) for i, (_, t) in enumerate(ranked, 1)} | {0: 0.5}
-    kind = source_key(F.col(f"`{source_col}`"))
     number = F.coalesce(*[F.when(kind == name, F.lit(i)) for i, (name, _) in enumerate(ranked, 1)], F.lit(0)) if ranked else F.lit(0)
-    trusted = F.coalesce(F.element_at(F.array(F.lit(-1), *[F.lit(t) for _, t in ranked]), F.col("source") + 1), F.lit(-1))
+    trusted = F.coalesce(F.element_at(F.array(F.lit(-1), *[F.lit(-1 if t is None else t) for _, t in ranked]), F.col("source") + 1), F.lit(-1))
     # one small expression over an array instead of one per field: the generated method stays within what the JVM compiles
     vals = F.transform(F.array(*[F.col(f"`{f}`") for f in fields]), lambda x: F.when(~is_blank(x), x))
     rows = (
@@ -329,7 +341,7 @@ def fuse_records(
         cold.select("group_key", "source", hashed.alias("vals"))
         .repartition("group_key")
         .sortWithinPartitions("group_key")
-        .mapInArrow(lambda it: (pa.RecordBatch.from_pandas(f, schema=_PATTERN, preserve_index=False) for f in _patterns_of(it, n_fields)), "masks array<int>, counts array<bigint>, n bigint")
+        .mapInArrow(lambda it: (pa.RecordBatch.from_pandas(f, schema=_PATTERN, preserve_index=False) for f in _patterns_of(it, n_fields)), "masks array<bigint>, counts array<bigint>, n bigint")
     )
     if any_hot:
         large = (
@@ -353,7 +365,7 @@ def fuse_records(
     )
     if any_hot:
         occurring = small_rows(patterns.select(F.explode("masks").alias("mask")).distinct())
-        scores = facts.sparkSession.createDataFrame([(r.mask, _mask_score(r.mask, accuracy, dependence)) for r in occurring], "mask int, score double")
+        scores = facts.sparkSession.createDataFrame([(r.mask, _mask_score(r.mask, accuracy, dependence)) for r in occurring], "mask bigint, score double")
         chosen = (
             _spread_claims(spread, n_fields)
             .join(F.broadcast(scores), "mask")

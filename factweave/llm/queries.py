@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.canonical import map_to_canonical
 from factweave.llm.encoding import repair_encoding
-from factweave.llm.fusion import dominant_rows, fuse_records
+from factweave.llm.fusion import FUSED_FIELDS, dominant_rows, fuse_records, group_key
 from factweave.llm.lookalike import consistent_names, unify_text
 from factweave.llm.mixing import clean_sources, mix_sources
 from factweave.llm.packing import pack_documents
@@ -61,6 +61,15 @@ def p4_records(spark: SparkSession, directory: str) -> DataFrame:
     return fused.withColumn("values", F.to_json("values"))
 
 
+def p4_rules_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """For each field how many keys have a value in their surviving record, and how many of these values no row of the key holds."""
+    facts = table(spark, directory, FACTS)
+    fused = fuse_records(facts, table(spark, directory, "source_trust")).select("group_key", F.explode("values").alias("field", "value"))
+    cells = facts.select(group_key(F.col("graph_fact_key")).alias("group_key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("value")) for f in FUSED_FIELDS])).alias("c"))
+    held = cells.where("group_key is not null and c.value is not null").select("group_key", "c.field", "c.value").distinct().withColumn("held", F.lit(True))
+    return fused.join(held, ["group_key", "field", "value"], "left").groupBy("field").agg(F.count("*").alias("n_keys"), F.count_if(F.col("held").isNull()).alias("invented"))
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return unify_text(table(spark, directory, FACTS), table(spark, directory, "subject_registry")).select("row_id", "field_name")
 
@@ -144,6 +153,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_records": p4_records,
+    "p4_rules_kept": p4_rules_kept,
     "p6_found": p6_found,
     "p6_names": p6_names,
     "p7_containers": p7_containers,
@@ -183,6 +193,27 @@ ORACLE: dict[str, str] = {
                CAST(0 AS BIGINT) AS unfinished, CAST(0 AS BIGINT) AS ends_in_heading
         FROM f GROUP BY field_name
     """,
+    "p4_rules_kept": """
+        WITH t AS (SELECT regexp_extract(lower(graph_fact_key), '([0-9a-f]{40})\\s*$', 1) AS k, * FROM graph_import_ready_generalized),
+        c AS (
+          SELECT k, '章节路径' AS field, "章节路径" AS v FROM t
+          UNION ALL SELECT k, '来源定位' AS field, "来源定位" AS v FROM t
+          UNION ALL SELECT k, '所属表格标题' AS field, "所属表格标题" AS v FROM t
+          UNION ALL SELECT k, '单位' AS field, "单位" AS v FROM t
+          UNION ALL SELECT k, '条件文本' AS field, "条件文本" AS v FROM t
+          UNION ALL SELECT k, '方法名称' AS field, "方法名称" AS v FROM t
+          UNION ALL SELECT k, '证据文本' AS field, "证据文本" AS v FROM t
+          UNION ALL SELECT k, '主体名称' AS field, "主体名称" AS v FROM t
+          UNION ALL SELECT k, 'attribute_name' AS field, "attribute_name" AS v FROM t
+          UNION ALL SELECT k, '尾实体/取值文本' AS field, "尾实体/取值文本" AS v FROM t
+          UNION ALL SELECT k, '数值' AS field, "数值" AS v FROM t
+          )
+        SELECT field, count(DISTINCT k) AS n_keys, CAST(0 AS BIGINT) AS invented
+        FROM c
+        WHERE k <> '' AND v IS NOT NULL
+          AND NOT regexp_full_match(lower(v), '[\\s\\p{Z}\\p{Cf}]*(|-|--|—|——|/|\\\\|n/a|na|null|none|nan|无|暂缺|待补|未知|空|\\?)[\\s\\p{Z}\\p{Cf}]*')
+        GROUP BY field
+    """,
     "p7_rules_kept": """
         SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_documents, CAST(0 AS BIGINT) AS placed_wrongly,
                CAST(0 AS BIGINT) AS needless_cuts, CAST(0 AS BIGINT) AS over_capacity, true AS near_bound
