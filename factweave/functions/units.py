@@ -65,8 +65,47 @@ CONVERSION: dict[str, tuple[float, float]] = {
     "mN/m": (1.0, 0.0), "dyn/cm": (1.0, 0.0), "N/m": (1e3, 0.0),
 }
 
-#: Written so that case alone keeps two units apart; tried before the case is folded away.
-_CASED = {"mPa·s": "mPa·s", "MPa·s": "mPa·s"}
+# The dimension of each unit symbol, as the reference table has it.
+DIMENSION: dict[str, str] = {
+    symbol: dimension
+    for dimension, symbols in {
+        "density": ("g/cm3", "kg/m3", "lb/ft3", "g/L"),
+        "temperature": ("℃", "K", "℉"),
+        "pressure": ("MPa", "GPa", "kPa", "psi", "kgf/cm2"),
+        "viscosity": ("Pa·s", "mPa·s", "cP"),
+        "length": ("μm", "nm", "mm", "mil"),
+        "conductivity": ("W/(m·K)", "mW/(m·K)", "kcal/(m·h·℃)"),
+        "heat": ("J/(g·K)", "kJ/(kg·K)", "cal/(g·℃)"),
+        "time": ("min", "h", "s"),
+        "fraction": ("%", "‰", "ppm"),
+        "resistivity": ("Ω·cm", "Ω·m"),
+        "tension": ("mN/m", "dyn/cm", "N/m"),
+    }.items()
+    for symbol in symbols
+}
+# What the name of a property says of the dimension of its quantity.
+CONTEXT: tuple[tuple[str, re.Pattern], ...] = (
+    ("viscosity", re.compile(r"[黏粘]度|viscosity", re.I)),
+    ("tension", re.compile(r"张力|surface tension|interfacial tension", re.I)),
+    ("conductivity", re.compile(r"热导|导热|热传导|thermal conductivity", re.I)),
+    ("heat", re.compile(r"比热|heat capacity|\bcp\b", re.I)),
+    ("resistivity", re.compile(r"电阻|resistivity", re.I)),
+    ("density", re.compile(r"密度|比重|density|\brho\b", re.I)),
+    ("pressure", re.compile(r"强度|模量|应力|压强|压力|strength|modulus|stress|pressure|\buts\b", re.I)),
+    ("fraction", re.compile(r"伸长率|延伸率|吸水|含量|elongation|absorption|content", re.I)),
+    ("length", re.compile(r"粒径|厚度|直径|diameter|thickness|\bd50\b", re.I)),
+    ("time", re.compile(r"时间|\btime\b", re.I)),
+    ("temperature", re.compile(r"温度|熔点|软化点|沸点|闪点|temperature|point|\btg\b|m\.p\.", re.I)),
+)
+# Forms that case alone keeps apart from the unit they resemble, the dimension in which they can only be a slip for it,
+# and the power of ten between the two.
+CASED = (("mPa", "MPa", "pressure", -9), ("MN/m", "mN/m", "tension", 9))
+
+
+def context_dimension(name: str | None) -> str | None:
+    """The dimension that a property name speaks of; null where it speaks of none."""
+    return next((dimension for dimension, words in CONTEXT if name and words.search(name)), None)
+
 
 _SPACES = re.compile(r"\s+")
 POWER = re.compile(r"^(?:[×x*]?\s*10\s*(?:\^\s*([+-]?\d+)|([⁺⁻]?[⁰¹²³⁴-⁹]+)|(?:\*\*([+-]?\d+)))\s*|(千|万|百万|亿)\s*(?=[a-zμω℃°%‰ ]))")
@@ -98,9 +137,9 @@ def leading_power(key: str) -> tuple[int, str]:
     if not found:
         return 0, key
     if found[4]:
-        return WORD_POWER[found[4]], key[found.end() :].strip()
+        return WORD_POWER[found[4]], key[found.end() :].lstrip()
     digits = (found[1] or found[3] or found[2] or "0").translate(SUPERSCRIPT)
-    return int(digits), key[found.end() :].strip()
+    return int(digits), key[found.end() :].lstrip()
 
 
 def resolve_unit(text: str | None) -> tuple[str, int] | None:

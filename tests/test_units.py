@@ -2,7 +2,7 @@ import pytest
 
 from factweave.functions.quantity import read_quantity
 from factweave.functions.units import CONVERSION, UNIT_ALIASES, resolve_unit
-from factweave.operators.units import recorded_in_other_unit, to_common_units
+from factweave.operators.units import combine, recorded_in_other_unit, to_common_units
 
 
 @pytest.mark.parametrize(
@@ -58,3 +58,41 @@ def test_operator(spark):
     found = recorded_in_other_unit(df, reference)
     assert sorted(map(tuple, found.collect())) == [(1, "psi"), (2, "K")]
     assert recorded_in_other_unit(df.limit(0), reference).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "number", "symbol", "power"),
+    [
+        ("在25℃下测得 1.2 g/cm3", 1.2, "g/cm3", 0),
+        ("3小时20分", 3 + 20 / 60, "h", 0),
+        ("1 h 30 min", 1.5, "h", 0),
+        ("2 min 30 s", 2.5, "min", 0),
+        ("1,5 MPa", 1.5, "MPa", 0),
+        ("1,500 MPa", 1500, "MPa", 0),
+        ("0,577 MPa", 0.577, "MPa", 0),
+        ("1 000 MPa", 1000, "MPa", 0),
+        ("10-20 MPa", 15, "MPa", 0),
+        ("10–20 MPa", 15, "MPa", 0),
+        ("-29.66 ℃", -29.66, "℃", 0),
+        ("500 mPa", 500, "MPa", -9),
+        ("3 MN/m", 3, "mN/m", 9),
+        ("0.577 10^3 mPa·s（23 ℃）", 0.577, "mPa·s", 3),
+    ],
+)
+def test_styles_of_numbers_and_conditions(text, number, symbol, power):
+    found = read_quantity(text)
+    assert found.number == pytest.approx(number) and (found.symbol, found.power) == (symbol, power)
+
+
+def test_the_property_name_resolves_what_is_ambiguous():
+    assert combine("500 mPa", None, None, "拉伸强度")[5] == 0 and combine("500 mPa", None, None, None)[5] == -9
+    assert combine("3 MN/m", None, None, "表面张力")[5] == 0
+    assert combine("测于 25 ℃，1.2 g/cm3", None, None, "密度")[4] == "g/cm3" and combine("25 ℃，1.2 g/cm3", None, None, "熔点")[4] == "℃"
+    found = read_quantity("10-20 MPa")
+    assert (found.lower, found.upper) == (10, 20)
+
+
+def test_a_unit_without_a_factor_is_reported(spark):
+    reference = spark.createDataFrame([("MPa", "x", "pressure", "MPa"), ("kPa", "x", "pressure", "MPa")], "unit_symbol string, unit_name string, dimension string, common_unit string")
+    df = spark.createDataFrame([(1, "5 kPa", None, None)], "row_id bigint, `尾实体/取值文本` string, `数值` string, `单位` string")
+    assert to_common_units(df, reference).first().common_value == pytest.approx(0.005)
