@@ -7,6 +7,7 @@ slash or comma may stand before a unit.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from factweave.functions.fold import fold_latin, fold_table, is_invisible, looka
 from factweave.functions.units import resolve_unit
 
 # What separates values. The weak ones also stand inside numbers, units and names.
-STRONG = ";|、\n\t"
+STRONG = ";|、\n\t\r"
 WEAK = ",/"
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 OPENING, CLOSING = "「『“‘《", "」』”’》"
@@ -29,7 +30,7 @@ SENTENCE_END = "。！？!?"
 PLACEHOLDERS = ("n/a", "/")
 
 #: Rows without any of these, or of the code points that fold to them, hold one value at most.
-CANDIDATE = r"[;；|｜、\n\t,，/／①-⑳﹐﹑]|\\n|(^|[\s ])[0-9０-９]{1,2}[)）]"
+CANDIDATE = r"[;；|｜、\n\t\r,，/／①-⑳﹐﹑]|\\n|(^|[\s ])[0-9０-９]{1,2}[)）]"
 
 _DROP = 0
 _SPLIT = ord(";")
@@ -98,6 +99,35 @@ def _unit_tail(text: str, whole: frozenset[str]) -> bool:
     return bool(bare) and bare not in whole and resolve_unit(bare) is not None
 
 
+#: Three and more whole numbers between commas that are no thousands and no locants.
+_COMMA_LIST = re.compile(r"(?<![\d.,])\d+(?:,\d+){2,}(?![\d,]|\.\d|\s*-)")
+_THOUSANDS = re.compile(r"[1-9]\d{0,2}(?:,\d{3})+")
+_NUMBER = re.compile(r"[<>≤≥≈~+-]?\s*\d[\d.,]*(?:[×x]10\^[+-]?\d+|[eE][+-]?\d+)?")
+_STRONG_CUT = re.compile("[" + re.escape(STRONG) + "]")
+
+
+@lru_cache(maxsize=65536)
+def _listed_commas(text: str) -> tuple[int, ...]:
+    """Places of the commas of a folded text that part whole numbers from each other."""
+    found = []
+    for m in _COMMA_LIST.finditer(text):
+        if not _THOUSANDS.fullmatch(m[0]):
+            found += [m.start() + i for i, ch in enumerate(m[0]) if ch == ","]
+    return tuple(found)
+
+
+@lru_cache(maxsize=65536)
+def _closed_list(text: str, whole: frozenset[str]) -> bool:
+    """True for a folded text with a full stop at its end alone, if what stands between its separators are names of the list or numbers
+    with at most a unit: a list that is closed like a sentence, not a sentence."""
+    body = text.strip()
+    if body[-1:] not in SENTENCE_END or any(ch in SENTENCE_END for ch in body[:-1]):
+        return False
+    parts = [p.strip() for p in _STRONG_CUT.split(body[:-1]) if p.strip()]
+    rests = [None if p in whole or not (m := _NUMBER.match(p)) else p[m.end() :].strip() for p in parts]
+    return len(parts) > 1 and all(p in whole or rest == "" or rest and resolve_unit(rest) is not None for p, rest in zip(parts, rests, strict=True))
+
+
 def divided_names(names: Iterable[str]) -> list[tuple[str, str, str]]:
     """Names of the reference list that hold a separator themselves, cut there: (left, separator, right)."""
     parts = []
@@ -108,8 +138,8 @@ def divided_names(names: Iterable[str]) -> list[tuple[str, str, str]]:
     return parts
 
 
-def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: frozenset[str] = frozenset()) -> tuple[np.ndarray, pa.Array]:
-    """(ordinal of the parent, value) of every value in an Arrow string array, in order; values are trimmed and unquoted.
+def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: frozenset[str] = frozenset()) -> pa.LargeListArray:
+    """The list of values of every string of an Arrow array, in order; values are trimmed and unquoted.
 
     names: those of the list that hold a separator, cut there; whole: all of them. Null and empty strings give no value.
     """
@@ -128,7 +158,7 @@ def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: fro
     keep = folded != _DROP
     codes, folded, row = codes[keep], folded[keep], row[keep]
     if not len(codes):
-        return np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+        return _lists(np.zeros(0, dtype=np.int64), pa.array([], pa.string()), count)
     starts = np.searchsorted(row, np.arange(count))
     following, previous = _shift(folded, row, 1), _shift(folded, row, -1)
 
@@ -154,7 +184,8 @@ def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: fro
     inside = np.zeros(len(folded), dtype=bool)
     quote_char = np.zeros(len(folded), dtype=bool)
     for quote in ('"', "'"):
-        is_quote = folded == ord(quote)
+        # between letters or digits it is an apostrophe
+        is_quote = (folded == ord(quote)) & ~((_is_latin(previous) | _is_digit(previous)) & (_is_latin(following) | _is_digit(following)))
         if not is_quote.any():
             continue
         seen = _row_cumsum(is_quote, starts, row)
@@ -207,10 +238,23 @@ def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: fro
         number = _is_digit(previous) & _is_digit(following)
         single_before = _is_latin(previous) & ((second == 0) | (second == ord(",")) | _isin(second, STRONG))
         single_after = _is_latin(following) & ((third == ord(",")) | (third == ord("-")))
-        protected |= comma & (codes == ord(",")) & (number | single_before & single_after)
+        kept_comma = comma & (codes == ord(",")) & (number | single_before & single_after)
+        # several whole numbers are a list, unless they are thousands or locants
+        for r in np.flatnonzero(np.bincount(row, weights=comma & number, minlength=count) > 1):
+            begin = starts[r]
+            end = np.searchsorted(row, r, side="right")
+            kept_comma[begin + np.asarray(_listed_commas("".join(map(chr, folded[begin:end]))), dtype=np.int64)] = False
+        protected |= kept_comma
 
     # whole sentences
-    sentence = np.bincount(row, weights=_isin(folded, SENTENCE_END), minlength=count) > 0
+    stop = _isin(folded, SENTENCE_END)
+    sentence = np.bincount(row, weights=stop, minlength=count) > 0
+    closing_stop = np.zeros(len(folded), dtype=bool)
+    for r in np.flatnonzero(sentence & (np.bincount(row, weights=strong & ~protected, minlength=count) > 0)):
+        begin, end = starts[r], np.searchsorted(row, r, side="right")
+        if _closed_list("".join(map(chr, folded[begin:end])), whole):
+            sentence[r] = False
+            closing_stop[begin:end] = stop[begin:end]
     protected |= sentence[row]
 
     # a slash behind a number belongs to its unit
@@ -250,16 +294,16 @@ def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: fro
     begin = solid & np.concatenate(([True], delimiter[:-1] | (row[1:] != row[:-1])))
     at = np.flatnonzero(begin)
     if not len(at):
-        return np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+        return _lists(np.zeros(0, dtype=np.int64), pa.array([], pa.string()), count)
     piece = np.cumsum(begin) - 1
-    kept = solid & ~quote_char
+    kept = solid & ~quote_char & ~closing_stop
     space = _isin(folded, " \n\t\r")
     words = kept & ~space
     # trim: first and last code point of a piece that is not white space
     piece_kept = piece[words]
     positions = np.flatnonzero(words)
     if not len(positions):
-        return np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+        return _lists(np.zeros(0, dtype=np.int64), pa.array([], pa.string()), count)
     first = np.full(len(at), -1)
     final = np.full(len(at), -1)
     first[piece_kept[::-1]] = positions[::-1]
@@ -274,7 +318,17 @@ def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: fro
     lengths = np.bincount(piece[wanted], weights=size, minlength=len(at)).astype(np.int64)[real]
     child_offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
     values = pa.LargeStringArray.from_buffers(len(real), pa.py_buffer(child_offsets), pa.py_buffer(text)).cast(pa.string())
-    return row[at[real]], values
+    return _lists(row[at[real]], values, count)
+
+
+def _lists(parents: np.ndarray, values: pa.Array, count: int) -> pa.LargeListArray:
+    """A list array of `count` lists from values in the order of their parents."""
+    return pa.LargeListArray.from_arrays(pa.array(np.searchsorted(parents, np.arange(count + 1)), pa.int64()), values)
+
+
+def flattened(lists: pa.LargeListArray) -> tuple[np.ndarray, pa.Array]:
+    """(ordinal of the parent, value) of every value."""
+    return pc.list_parent_indices(lists).to_numpy(), lists.flatten()
 
 
 def positions_of(parents: np.ndarray) -> np.ndarray:
@@ -303,7 +357,7 @@ def split_values(facts: DataFrame, names: Iterable[str], id_col: str = "row_id",
         for batch in batches:
             for index, field in enumerate(fields, 1):
                 column = batch.column(index)
-                parents, values = split_batch(column, cut_names, whole)
+                parents, values = flattened(split_batch(column, cut_names, whole))
                 if not keep_single and len(parents):
                     several = np.bincount(parents, minlength=batch.num_rows)[parents] > 1
                     parents, values = parents[several], values.filter(pa.array(several))

@@ -6,14 +6,14 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factweave.operators.multivalue import divided_names, positions_of, split_batch, split_values
+from factweave.operators.multivalue import divided_names, flattened, positions_of, split_batch, split_values
 
 NAMES = ["光泽、色度", "耐酸性/耐碱性", "熔点", "Cp", "D50"]
 CUT = divided_names(NAMES)
 
 
 def values(text):
-    parents, found = split_batch(pa.array([text]), CUT, frozenset(NAMES))
+    parents, found = flattened(split_batch(pa.array([text]), CUT, frozenset(NAMES)))
     return found.to_pylist()
 
 
@@ -29,6 +29,16 @@ def test_lists():
     assert values("D50/外观") == ["D50", "外观"]
 
 
+def test_closed_lists_apostrophes_and_comma_lists():
+    assert values("熔点；D50；Cp。") == ["熔点", "D50", "Cp"]
+    assert values("1.2 g/cm3；1.3 g/cm3。") == ["1.2 g/cm3", "1.3 g/cm3"]
+    assert values("it's a; b's c") == ["it's a", "b's c"] and values("'a;b'; c") == ["a;b", "c"]
+    assert values("3,5,7") == ["3", "5", "7"] and values("10,20,30 MPa") == ["10", "20", "30 MPa"]
+    assert values("1,234,567") == ["1,234,567"] and values("2,4,6-三澜基酯") == ["2,4,6-三澜基酯"] and values("3,5") == ["3,5"]
+    assert values("水\r\n丙酮\r醇") == ["水", "丙酮", "醇"]
+    assert values("遇强碱变色；见图。") == ["遇强碱变色；见图。"]
+
+
 def test_one_value():
     for text in ("光泽、色度", "光泽、色渡", "耐酸性/耐碱性", "熔点 / degC", "熔点, ℃", "比热容/J/(g·K)", "1,860.0", "3,5-二岚基环酮型", "N,N-双沐基胺类", "浸泡后变化很小，无起泡。", "2.1 g/cm3", "N/A", "10~20", "1:2", "水;"):
         assert len(values(text)) == 1, text
@@ -41,11 +51,11 @@ def test_names_inside_lists():
 
 
 def test_nulls_empty_long():
-    parents, found = split_batch(pa.array([None, "", "a;b", None, "；", "x" * 300_000 + ";y"]), CUT)
+    parents, found = flattened(split_batch(pa.array([None, "", "a;b", None, "；", "x" * 300_000 + ";y"]), CUT))
     assert parents.tolist() == [2, 2, 5, 5]
     assert positions_of(parents).tolist() == [1, 2, 1, 2]
     assert found.to_pylist()[:2] == ["a", "b"] and len(found.to_pylist()[2]) == 300_000
-    assert split_batch(pa.array([], pa.string()), CUT)[1].to_pylist() == []
+    assert split_batch(pa.array([], pa.string()), CUT).to_pylist() == [] and split_batch(pa.array([None, "a;b"]), CUT).to_pylist() == [[], ["a", "b"]]
 
 
 def brute(text):
@@ -73,7 +83,7 @@ def brute(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet='ab水;|" ', max_size=12), min_size=1, max_size=8))
 def test_against_brute_force(texts):
-    parents, found = split_batch(pa.array(texts), [])
+    parents, found = flattened(split_batch(pa.array(texts), []))
     expected = [(i, v) for i, t in enumerate(texts) for v in brute(t)]
     assert list(zip(parents.tolist(), found.to_pylist(), strict=True)) == expected
 
