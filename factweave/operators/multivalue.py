@@ -185,7 +185,9 @@ def split_batch(strings: pa.Array, names: list[tuple[str, str, str]], whole: fro
     quote_char = np.zeros(len(folded), dtype=bool)
     for quote in ('"', "'"):
         # between letters or digits it is an apostrophe
-        is_quote = (folded == ord(quote)) & ~((_is_latin(previous) | _is_digit(previous)) & (_is_latin(following) | _is_digit(following)))
+        is_quote = folded == ord(quote)
+        if quote == "'":
+            is_quote &= ~((_is_latin(previous) | _is_digit(previous)) & (_is_latin(following) | _is_digit(following)))
         if not is_quote.any():
             continue
         seen = _row_cumsum(is_quote, starts, row)
