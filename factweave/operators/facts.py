@@ -118,3 +118,11 @@ def subject_scores(rows: DataFrame, subject: str, table: str, source: str, confi
     score = F.round(F.least(F.lit(0.99), F.coalesce("mean_", F.lit(0.0)) * 0.7 + F.least(F.lit(0.22), F.log2(F.col("n_evidence") + 1) * 0.05) + F.when(F.col("n_sources") > 1, 0.05).otherwise(0.0)), 6)
     scored = counted.withColumn("score", score).drop("mean_")
     return scored.withColumn("status", F.when(F.col("score") >= 0.70, "confirmed").when(F.col("score") >= 0.42, "candidate").otherwise("rejected"))
+
+
+def filtered(rows: DataFrame, wanted: Mapping[str, str | None], expansions: Mapping[str, Mapping[str, tuple[str, ...]]] | None = None) -> DataFrame:
+    """The rows that equal what is wanted in each field; None asks for nothing. expansions: field -> value -> the values it stands for."""
+    for field, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.col(field).isin(*(expansions or {}).get(field, {}).get(value, (value,))))
+    return rows
