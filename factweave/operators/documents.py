@@ -182,7 +182,7 @@ def windows_of(text: str, limit: int, overlap: int = 1) -> list[tuple[int, str,
 
 def _exploder(documents: DataFrame, id_col: str, text_col: str, work: Callable[[str], list[tuple]], columns: str) -> DataFrame:
     id_type = documents.schema[id_col].dataType.simpleString()
-    names = [id_col, *[c.split()[0] for c in columns.split(",")]]
+    names = [id_col, *[c.split()[0] for c in columns.split(", ")]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

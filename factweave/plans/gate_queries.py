@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from factweave.functions.values import QUOTIENTS
 from factweave.operators import facts as K
 from factweave.operators import gates as Q
+from factweave.operators import table_compiler as C
 from factweave.plans.core_queries import FACTS, facts, query
+from factweave.plans.problem_queries import reference_names
 from factweave.session import table
 
 WHITE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -283,3 +285,64 @@ def locator_tables(spark: SparkSession, d: str) -> DataFrame:
     catalog = known.groupBy("book").agg(F.collect_list(F.struct("a", "b")).alias("tables"))
     met = F.size(F.filter("tables", lambda t: ~((t["b"] < F.col("a")) | (t["a"] > F.col("b")))))
     return rows.where("t = '' and a is not null").join(catalog, "book").select("row_id", met.cast("bigint").alias("n_tables")).where("n_tables > 0")
+
+
+# --- compiled tables ----------------------------------------------------------------------------------------------------
+
+# the rows of pipe tables, by line: a header line above a separator, and the lines with a pipe behind it, HTML tables set aside
+_PIPE_ROWS = f"""
+    WITH x AS (SELECT doc_id, regexp_replace(text, '(?is)<table\\b.*?</table>', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM x),
+    m AS (SELECT *, lead(line) OVER w AS after, contains(line, '|') AS piped FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    h AS (SELECT *, sum(CASE WHEN NOT piped THEN 1 ELSE 0 END) OVER w AS run, regexp_matches(coalesce(after, ''), '^\\s*\\|?\\s*:?-{{3,}}:?\\s*(\\|\\s*:?-{{3,}}:?\\s*)*\\|?\\s*$') AND piped AS head FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    b AS (SELECT doc_id, run, min(n) AS top FROM h WHERE head GROUP BY doc_id, run),
+    r AS (SELECT h.doc_id, h.run, h.n - b.top AS k, list_transform(string_split(regexp_replace(trim(h.line), '^\\||\\|$', '', 'g'), '|'), lambda c: trim(regexp_replace(c, '{WHITE}+', ' ', 'g'))) AS cells
+          FROM h JOIN b ON h.doc_id = b.doc_id AND h.run = b.run WHERE h.piped AND h.n >= b.top AND h.n <> b.top + 1)"""
+
+
+def _words(spark: SparkSession, d: str) -> dict[str, tuple[str, ...]]:
+    """The words of the compiler, with the names of the property reference list, a fixed table, among those of properties."""
+    return C.WORDS | {"property": (*C.WORDS["property"], *reference_names(spark, d))}
+
+
+@query()
+def compiled_table_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of all tables by the reading their plan asks for."""
+    found = C.compiled_facts(table(spark, d, "documents"), words=_words(spark, d))
+    return found.withColumns({"conditions": F.array_join("conditions", "；"), "reasons": F.array_join("reasons", "|")})
+
+
+@query(
+    f"""
+    {_PIPE_ROWS},
+    t AS (SELECT doc_id, run, cells AS head FROM r WHERE k = 0)
+    SELECT r.doc_id, r.cells[1] AS subject, trim(regexp_extract(t.head[i], '^(.*?)\\s*\\(.*\\)$', 1)) AS property, r.cells[i] AS value_text, count(*) AS n
+    FROM r JOIN t ON r.doc_id = t.doc_id AND r.run = t.run, range(2, 1 + len(t.head)) g(i)
+    WHERE r.k > 1 AND r.cells[1] <> '' AND r.cells[i] <> '' GROUP BY ALL
+    """
+)
+def compiled_pipe_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of pipe tables that name their rows: what the compiler finds in texts without their HTML tables, as SQL finds it by lines."""
+    documents = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(?is)<table\b.*?</table>", "").alias("text"))
+    found = C.compiled_facts(documents, words=_words(spark, d))
+    return found.groupBy("doc_id", "subject", "property", "value_text").agg(F.count("*").alias("n"))
+
+
+@query()
+def table_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Topology, orientation, confidence and axes of all tables."""
+    plans = C.table_plans(table(spark, d, "documents"), words=_words(spark, d))
+    axes = F.array_join(F.array_sort(F.transform(F.map_entries("axes"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"].cast("array<string>"), ",")))), ";")
+    return plans.withColumns({"unresolved": F.array_join("unresolved", "|"), "axes": axes})
+
+
+@query()
+def table_header_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Label paths and roles of all columns and rows of all tables."""
+    return C.header_paths(table(spark, d, "documents"), words=_words(spark, d)).withColumn("labels", F.array_join("labels", "/"))
+
+
+@query()
+def table_cell_roles(spark: SparkSession, d: str) -> DataFrame:
+    """How many cells of each role every table has."""
+    return C.cell_roles(table(spark, d, "documents"), words=_words(spark, d)).groupBy("doc_id", "table_no", "role").agg(F.count("*").alias("n"))
