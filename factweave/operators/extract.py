@@ -19,15 +19,9 @@ from factweave.functions.values import parse_value
 LABELLED = r"(?m)^\s*([^\s：:|#<][^：:|\n]{0,29}?)\s*[：:]\s*([^\n|]+?)\s*$"
 BOUND = r"^(.{1,40}?)的([^的，。为]{2,12}?)(?:约)?为([^，。；]+)$"
 COMPOSED = r"^(?:将)?(.{1,40}?)与(.{1,40}?)按(\d+(?:\.\d+)?)\s*[:：]\s*(\d+(?:\.\d+)?)(?:混合|共混|复配)"
-# Verbs that join a subject and an object, with the kind of relation they state.
-RELATIONS = (
-    ("classification", r"^(.{1,30}?)(?:是一种|属于)(.{1,40})$"),
-    ("application", r"^(.{0,30}?)(?:可用于|多用于|适合作为|用作)(.{1,40})$"),
-    ("causal", r"^(.{1,40}?)(?:导致|使得|引起)(.{1,40})$"),
-    ("solubility", r"^(.{0,30}?)可溶于(.{1,40})$"),
-)
-# The same without bounds of length. The subject begins behind the last sentence that ends inside the clause before the verb.
-WHOLE_RELATIONS = tuple(
+# Verbs that join a subject and an object, with the kind of relation they state. The subject begins behind the last sentence that ends
+# inside the clause before the verb.
+RELATIONS = tuple(
     (kind, rf"^(?:(?:(?!{verbs}).)*(?:\S\.\s+(?=\p{{IsHan}})|\p{{Ll}}{{3}}\.\s+(?=\p{{Lu}})))?((?:(?!{verbs}).){least})(?:{verbs})(.+)$")
     for kind, verbs, least in (("classification", "是一种|属于", "+"), ("application", "可用于|多用于|适合作为|用作", "*"), ("causal", "导致|使得|引起", "+"), ("solubility", "可溶于", "*"))
 )
@@ -63,7 +57,7 @@ def compositions(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found.select(id_col, "ord", F.explode(members).alias("m")).select(id_col, "ord", "m.*")
 
 
-def relations(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: tuple[tuple[str, str], ...] = WHOLE_RELATIONS) -> DataFrame:
+def relations(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: tuple[tuple[str, str], ...] = RELATIONS) -> DataFrame:
     """id, ord, kind, subject, object; the first kind that a clause matches."""
     rows = clause_rows(documents, id_col, text_col)
     kind = F.coalesce(*[F.when(F.col("clause").rlike(p), F.lit(k)) for k, p in patterns])

@@ -91,10 +91,20 @@ def process_spans(blocks: DataFrame, score: Column, keys: list[str], order: str,
     return islands.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n_blocks"), F.max("s").alias("best"), F.sum("s").alias("score")).where(F.col("best") >= least).drop("best", "run")
 
 
-def item_batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    """group, batch, n_items: items of each group in order, cut into batches of `size`."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size)).groupBy(group, "batch").agg(F.count("*").alias("n_items"))
+def item_batches(rows: DataFrame, group: str, order: str, size: int, ranges: int = 64) -> DataFrame:
+    """group, batch, n_items: items of each group in the order of a column of numbers, cut into batches of `size`.
+
+    The numbers are cut into ranges, each sorted alone, and the counts of the ranges before it are added, so that a group with a third
+    of all rows is spread over `ranges` tasks. Rows without a number come first; an empty table gives none.
+    """
+    least, most = rows.agg(F.min(order), F.max(order)).first()
+    width = (float(most) - float(least)) / ranges + 1e-9 if least is not None else 1.0
+    ranged = rows.select(group, order, F.coalesce(F.least(F.floor((F.col(order) - F.lit(least or 0)) / width), F.lit(ranges - 1)), F.lit(-1)).alias("range_"))
+    counts = ranged.groupBy(group, "range_").agg(F.count("*").alias("n_"))
+    before = counts.select(F.col(group).alias("g_"), F.col("range_").alias("b_"), (F.sum("n_").over(Window.partitionBy(group).orderBy("range_")) - F.col("n_")).alias("before_"))
+    local = F.row_number().over(Window.partitionBy(group, "range_").orderBy(order)) - 1
+    ranked = ranged.withColumn("local_", local).join(before, F.col(group).eqNullSafe(F.col("g_")) & (F.col("range_") == F.col("b_")))
+    return ranked.withColumn("batch", F.floor((F.col("local_") + F.col("before_")) / size)).groupBy(group, "batch").agg(F.count("*").alias("n_items"))
 
 
 def step_labels(text: Column) -> Column:

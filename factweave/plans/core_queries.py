@@ -118,15 +118,6 @@ def _part(pattern: str, i: int) -> str:
     return f"trim(regexp_extract(clause, '{pattern}', {i}))"
 
 
-@query(
-    _clause_sql(
-        f"regexp_replace({_part(X.BOUND, 1)}, '^.*[，,]', '') AS owner, {_part(X.BOUND, 2)} AS property, {_part(X.BOUND, 3)} AS value_text", X.BOUND
-    )
-)
-def bound_values(spark: SparkSession, d: str) -> DataFrame:
-    return X.bound_values(table(spark, d, "documents")).drop("value")
-
-
 @query(
     f"""
     SELECT doc_id, ord, unnest([a, b]) AS component, unnest([x, y]) AS part, unnest([round(x / (x + y), 6), round(y / (x + y), 6)]) AS share
@@ -137,25 +128,9 @@ def compositions(spark: SparkSession, d: str) -> DataFrame:
     return X.compositions(table(spark, d, "documents"))
 
 
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(clause, '{p}') THEN '{k}'" for k, p in X.RELATIONS) + " END"
-
-
-@query(
-    f"""
-    WITH c AS (SELECT doc_id, generate_subscripts(l, 1) AS ord, unnest(l) AS clause FROM (SELECT doc_id, {CLAUSES} AS l FROM documents)),
-    k AS (SELECT *, {_KIND} AS kind FROM c)
-    SELECT doc_id, ord, kind, CASE {" ".join(f"WHEN kind = '{k}' THEN {_part(p, 1)}" for k, p in X.RELATIONS)} END AS subject,
-           CASE {" ".join(f"WHEN kind = '{k}' THEN {_part(p, 2)}" for k, p in X.RELATIONS)} END AS object
-    FROM k WHERE kind IS NOT NULL
-    """
-)
-def relations(spark: SparkSession, d: str) -> DataFrame:
-    return X.relations(table(spark, d, "documents"), patterns=X.RELATIONS)
-
-
 @query()
-def relations_all(spark: SparkSession, d: str) -> DataFrame:
-    """Relations of clauses of any length; relations compares the short ones with SQL."""
+def relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of clauses of any length. SQL without look-ahead cannot say where their subjects begin; they are tested on small cases."""
     return X.relations(table(spark, d, "documents"))
 
 
@@ -278,13 +253,50 @@ def _literal(x) -> str:
     return "NULL" if x is None else f"{x!r}"
 
 
+_NUM = r"[-+]?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?"
+_AS_NUMBER = "try_cast(replace({}, ',', '') AS DOUBLE)"
+# a torn decimal and a decimal comma, without look-around: the digits around them are put back
+_NORMAL = r"""regexp_replace(regexp_replace(regexp_replace({}, '([0-9]),([0-9]{{1,2}})(\D|$)', '\1.\2\3', 'g'), '([0-9])[\s]*[.．][\s]+([0-9])', '\1.\2', 'g'), '[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+', ' ', 'g')"""
+for _a, _b, _n, _signed in reversed(V.QUOTIENTS):
+    _NORMAL = _NORMAL.replace("{}", f"regexp_replace({{}}, '(?i){_a}\\\\s*[·*]{'' if _signed else '?'}\\\\s*{_b}\\\\s*\\\\^?\\\\s*-\\\\s*{_n}\\\\b', '{_a}/{_b}{_n if _n > 1 else ''}', 'g')")
+
+
+def parsed_sql(column: str, rows: str, kept: str) -> str:
+    """SQL of the number parser over a column of rows: kept columns, value_num, lower_bound, upper_bound, comparator, is_ratio, parse_confidence."""
+    joined = {"ratio": f"({_NUM})\\s*[:：/]\\s*({_NUM})", "plus": f"({_NUM})\\s*±\\s*({_NUM})", "span": f"({_NUM})\\s*{V.RANGE_SIGN}\\s*({_NUM})"}
+    pick = lambda kind, i: _AS_NUMBER.format(f"regexp_extract(body, '{joined[kind]}', {i})")
+    has = {k: f"regexp_matches(body, '{p}')" for k, p in joined.items()}
+    has["ratio"] += " AND NOT regexp_matches(body, '(?:https?|[A-Za-z]):/')"
+    signs = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.COMPARATOR_SIGN.items())
+    return f"""
+    SELECT {kept}, CASE WHEN ratio THEN NULL WHEN plus THEN {pick('plus', 1)} WHEN span THEN NULL ELSE {_AS_NUMBER.format(f"regexp_extract(body, '{_NUM}')")} END AS value_num,
+      round(CASE WHEN ratio THEN {pick('ratio', 1)} WHEN plus THEN {pick('plus', 1)} - {pick('plus', 2)} WHEN span THEN {pick('span', 1)} END, 9) AS lower_bound,
+      round(CASE WHEN ratio THEN {pick('ratio', 2)} WHEN plus THEN {pick('plus', 1)} + {pick('plus', 2)} WHEN span THEN {pick('span', 2)} END, 9) AS upper_bound,
+      nullif(CASE sign {signs} ELSE sign END, '') AS comparator, ratio AS is_ratio,
+      CASE WHEN t = '' THEN 0.0::DOUBLE WHEN ratio THEN 0.90::DOUBLE WHEN plus OR span THEN 0.95::DOUBLE WHEN regexp_matches(body, '{_NUM}') THEN 0.88::DOUBLE ELSE 0.25::DOUBLE END AS parse_confidence
+    FROM (SELECT *, {has['ratio']} AS ratio, {has['plus']} AS plus, {has['span']} AS span
+          FROM (SELECT *, regexp_extract(t, '^\\s*({V.COMPARATORS})', 1) AS sign, regexp_replace(t, '^\\s*(?:{V.COMPARATORS})\\s*', '') AS body
+                FROM (SELECT *, {_NORMAL.format(f"translate(trim(coalesce({column}, '')), '−⁻•×—', '--·*–')")} AS t FROM {rows})))"""
+
+
+@query(parsed_sql('"尾实体/取值文本"', FACTS, "row_id"))
+def parse_value(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers, ranges, ratios and comparators of every value."""
+    rows = facts(spark, d, "row_id", "value_text").select("row_id", V.parse_value(F.col("value_text")).alias("v"))
+    return rows.select("row_id", "v.value_num", F.round("v.lower_bound", 9).alias("lower_bound"), F.round("v.upper_bound", 9).alias("upper_bound"), "v.comparator", "v.is_ratio", "v.parse_confidence")
+
+
 @query(
-    "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, [r[0], *r[2:]])) + ")" for r in PARSED)
-    + ") t(raw, value_num, lower_bound, upper_bound, comparator, unit, parse_confidence)"
+    parsed_sql(
+        "value_text",
+        "(" + _clause_sql(f"regexp_replace({_part(X.BOUND, 1)}, '^.*[，,]', '') AS owner, {_part(X.BOUND, 2)} AS property, {_part(X.BOUND, 3)} AS value_text", X.BOUND) + ")",
+        "doc_id, ord, owner, property, value_text",
+    )
 )
-def parse_value(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in PARSED], "raw string, header_unit string").select("raw", V.parse_value(F.col("raw"), F.col("header_unit")).alias("v"))
-    return rows.select("raw", "v.value_num", F.round("v.lower_bound", 9).alias("lower_bound"), F.round("v.upper_bound", 9).alias("upper_bound"), "v.comparator", "v.unit", "v.parse_confidence")
+def bound_values(spark: SparkSession, d: str) -> DataFrame:
+    found = X.bound_values(table(spark, d, "documents"))
+    bounds = [F.round(f"value.{c}", 9).alias(c) for c in ("lower_bound", "upper_bound")]
+    return found.select("doc_id", "ord", "owner", "property", "value_text", "value.value_num", *bounds, "value.comparator", "value.is_ratio", "value.parse_confidence")
 
 
 @query(

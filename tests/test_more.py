@@ -34,7 +34,7 @@ def test_cleaning_reaches_every_value(spark, tmp_path):
 
     values = [r"$\mathrm{2.5}\times 10^{-3}$", r"$26 \mathrm{^{\circ}C}$", r"$86\% \sim 88\%$", r"x_{1} \leq 3 \mu m", "1 . 32 和 12 345", "Ca(OH)2", "5 ± 1 ℃", None]
     spark.createDataFrame(list(enumerate(values)), "row_id bigint, `尾实体/取值文本` string").write.parquet(str(tmp_path / "graph_import_ready_generalized.parquet"))
-    out = queries()["cleaned_math_all"](spark, str(tmp_path)).orderBy("row_id").collect()
+    out = queries()["cleaned_math"](spark, str(tmp_path)).orderBy("row_id").collect()
     assert [r.cleaned for r in out] == ["2.5× 10-3", "26 ℃", "86% ~ 88%", "x1 ≤ 3 μ m", "1 . 32 和 12 345", "Ca(OH)2", "5 ± 1 ℃", ""]
     assert out[4].compact == "1.32 和 12345" and out[5].mass == 74.092 and out[6].mass is None
 
