@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CJK, LATIN, ENGLISH_WORD = "[㐀-鿿]", "[A-Za-z]", "[A-Za-z]{2,}"
+from factweave.functions.values import let
+
+NOT_CJK, ENGLISH_WORD = "[^㐀-鿿]+", "[A-Za-z]{2,}"
+MARKUP = r"[<`]|\]\(|https?://"
 # Where a sentence ends, and what is taken off the rim of a clause.
 SENTENCE_BORDER = r"[。！？!?；;\n]+"
 RIM = " \t\r\n，,。；;：:"
@@ -25,15 +28,23 @@ def count_of(column: Column, pattern: str) -> Column:
 
 def language(column: Column) -> Column:
     """'zh', 'en' or 'mixed' by the letters of both scripts in the visible text; text without letters counts as 'zh'."""
-    text = visible_text(column)
-    cjk, latin, words = count_of(text, CJK), count_of(text, LATIN), count_of(text, ENGLISH_WORD)
-    total = F.greatest(cjk + latin, F.lit(1))
-    cjk_ratio, latin_ratio = cjk / total, latin / total
-    return (
-        F.when((cjk >= 2) & (latin >= 12) & (words >= 3) & (cjk_ratio >= 0.04) & (latin_ratio >= 0.12), "mixed")
-        .when((latin >= 12) & (words >= 3) & (latin_ratio >= 0.72), "en")
-        .otherwise("zh")
-    )
+    written = F.coalesce(column, F.lit(""))
+    # most texts hold nothing to take out, and few enough Latin letters to ask for words
+    visible = F.when(written.rlike(MARKUP), visible_text(column)).otherwise(written)
+    letters = "".join(map(chr, (*range(65, 91), *range(97, 123))))
+
+    def decided(text: Column) -> Column:
+        cjk = F.length(F.regexp_replace(text, NOT_CJK, ""))
+        latin = F.length(text) - F.length(F.translate(text, letters, ""))
+        return let(F.struct(cjk.alias("cjk"), latin.alias("latin")), lambda n: chosen(text, n["cjk"], n["latin"]))
+
+    def chosen(text: Column, cjk: Column, latin: Column) -> Column:
+        total = F.greatest(cjk + latin, F.lit(1))
+        worded = (latin >= 12) & (count_of(text, ENGLISH_WORD) >= 3)
+        mixed = (cjk >= 2) & (cjk / total >= 0.04) & (latin / total >= 0.12)
+        return F.when(~worded, "zh").when(mixed, "mixed").when(latin / total >= 0.72, "en").otherwise("zh")
+
+    return let(visible, decided)
 
 
 def clauses(column: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import numeric_like
 from factweave.functions.values import parse_value
+from factweave.operators.documents import _exploder, grid_of, tables_of
 
 # Words of a header that tell what its column holds.
 ROLE_WORDS = {
@@ -69,22 +70,27 @@ def topology(roles: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return counted.withColumn("topology", kind)
 
 
-def row_subject_facts(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def row_subject_facts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Unpivot with the first column as subject: id, table_no, r, c, subject, property, unit, value_text, value (parsed).
 
-    The header label is cut into a property name and a unit. Empty cells give no fact, rows without a subject none either. The
-    subject and the labels reach the cells through one window per table, so the grid is shuffled once.
+    The header label is cut into a property name and a unit. Empty cells give no fact, rows without a subject none either. Subject
+    and label are known where the grid is built, so nothing is shuffled; numbers are parsed by native expressions.
     """
-    row, column = Window.partitionBy(id_col, "table_no", "r"), Window.partitionBy(id_col, "table_no", "c")
-    labelled = (
-        cells.repartition(id_col, "table_no")
-        .withColumn("label", F.max(F.when(F.col("header") & (F.col("r") == 0), F.col("cell"))).over(column))
-        .withColumn("subject", F.max(F.when((F.col("c") == 0) & ~F.col("header"), F.col("cell"))).over(row))
-    )
+
+    def work(text: str) -> list[tuple]:
+        out = []
+        for n, (_, _, kind, raw) in enumerate(tables_of(text), 1):
+            grid = grid_of(kind, raw)
+            labels = {c: cell for r, c, cell, header, _ in grid if header and r == 0}
+            subjects = {r: cell for r, c, cell, header, _ in grid if c == 0 and not header}
+            out += [(n, r, c, subjects[r], labels.get(c), cell) for r, c, cell, header, _ in grid if c and cell and not header and subjects.get(r)]
+        return out
+
+    facts = _exploder(documents, id_col, text_col, work, "table_no int, r int, c int, subject string, label string, value_text string")
     name = F.coalesce(F.nullif(F.regexp_extract("label", HEADER_UNIT, 1), F.lit("")), F.col("label"))
     unit = F.coalesce(F.nullif(F.regexp_extract("label", HEADER_UNIT, 2), F.lit("")), F.nullif(F.regexp_extract("label", HEADER_UNIT, 3), F.lit("")))
-    facts = labelled.where(~F.col("header") & (F.col("c") > 0) & (F.col("cell") != "") & (F.col("subject") != "")).withColumns({"property": name, "unit": unit})
-    return facts.select(id_col, "table_no", "r", "c", "subject", "property", "unit", F.col("cell").alias("value_text"), parse_value(F.col("cell"), F.col("unit")).alias("value"))
+    named = facts.select(id_col, "table_no", "r", "c", "subject", name.alias("property"), unit.alias("unit"), "value_text")
+    return named.withColumn("value", parse_value(F.col("value_text"), F.col("unit")))
 
 
 def best_conditions(candidates: DataFrame, record_keys: list[str]) -> DataFrame:

@@ -202,7 +202,7 @@ def table_topology(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def table_facts(spark: SparkSession, d: str) -> DataFrame:
-    found = G.row_subject_facts(D.cells(table(spark, d, "documents")))
+    found = G.row_subject_facts(table(spark, d, "documents"))
     return found.select("doc_id", "table_no", "r", "c", "subject", "property", "unit", "value_text", F.col("value.value_num").alias("value_num"))
 
 

@@ -75,7 +75,7 @@ def property_alignment(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def table_facts_59(spark: SparkSession, d: str) -> DataFrame:
     """Table facts in the form of the contract."""
-    rows = G.row_subject_facts(D.cells(table(spark, d, "documents")))
+    rows = G.row_subject_facts(table(spark, d, "documents"))
     number, lower, upper = F.col("value.value_num"), F.col("value.lower_bound"), F.col("value.upper_bound")
     shown = V.value_projection(number, lower, upper)
     parts = (F.col("doc_id").cast("string"), F.col("table_no").cast("string"), F.col("r").cast("string"), F.col("c").cast("string"), F.col("subject"), F.col("property"), F.col("value_text"))

@@ -54,7 +54,7 @@ def test_windows_cover_and_keep_the_limit():
 
 def test_table_facts(spark):
     docs = spark.createDataFrame([(1, BOOK), (2, None), (3, "")], "doc_id bigint, text string")
-    facts = {(r.subject, r.property): (r.unit, r.value.value_num) for r in G.row_subject_facts(D.cells(docs)).where("table_no = 1").collect()}
+    facts = {(r.subject, r.property): (r.unit, r.value.value_num) for r in G.row_subject_facts(docs).where("table_no = 1").collect()}
     assert facts == {("RDX", "密度"): ("g/cm3", 1.8), ("RDX", "熔点"): ("℃", 204.0), ("TATB", "密度"): ("g/cm3", 1.93), ("TATB", "熔点"): ("℃", 350.0)}
     roles = {r.c: r.role for r in G.axis_roles(G.axis_features(D.cells(docs))).where("table_no = 1").collect()}
     assert roles == {0: "entity", 1: "property", 2: "property"}
