@@ -12,8 +12,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions.formula import molar_mass_of
+from factweave.functions.values import let, normalize_unit
 from factweave.operators.facts import reasons
-from factweave.functions.values import normalize_unit
 
 # Patterns of surface faults.
 SENTENCE_MARK = r"[。；;：:]"
@@ -167,13 +168,13 @@ def unit_fits(prop: Column, unit: Column) -> Column:
 def many_values(value: Column, source: Column) -> Column:
     """True for a labelled field whose value holds several labels or three and more numbers."""
     text = F.coalesce(value, F.lit(""))
-    return (source == "text_labeled_field") & (text.rlike(TWO_LABELS) | text.rlike(INNER_LABEL) | (F.regexp_count(text, F.lit(ANY_NUMBER)) >= 3))
+    return (F.coalesce(source, F.lit("")) == "text_labeled_field") & (text.rlike(TWO_LABELS) | text.rlike(INNER_LABEL) | (F.regexp_count(text, F.lit(ANY_NUMBER)) >= 3))
 
 
 def defines(value: Column, source: Column) -> Column:
     """True for a labelled field whose value is a definition in prose."""
     text = stripped(value)
-    return (source == "text_labeled_field") & text.rlike(DEFINITION) & ~text.rlike(ANY_NUMBER)
+    return (F.coalesce(source, F.lit("")) == "text_labeled_field") & text.rlike(DEFINITION) & ~text.rlike(ANY_NUMBER)
 
 
 def index_line(line: Column) -> Column:
@@ -219,3 +220,112 @@ def worth_a_review(confidence: Column, source: Column, found: Column, complete:
     for prefix, value in sorted(least.items(), key=lambda kv: len(kv[0])):
         threshold = F.when(F.coalesce(source, F.lit("")).startswith(prefix), F.lit(float(value))).otherwise(threshold)
     return complete & (F.coalesce(confidence, F.lit(0.0)) >= threshold) & ~F.arrays_overlap(found, F.array(*map(F.lit, vetoes)))
+
+
+# What no subject is, in Chinese and in English.
+CHINESE_STOP = ("法", "图", "所", "称", "只", "仅", "均", "都", "不", "不仅", "缺点", "优点", "特点", "结果", "原因", "作用", "用途", "定义", "方法", "步骤", "条件", "性能", "材料", "体系", "过程")
+CHINESE_END = ("只", "仅", "均", "都", "不", "不仅", "也", "的", "为", "而", "则", "所", "称", "可", "能", "会")
+CHINESE_TRIGGERS = ("取决于", "决定于", "属于", "分为", "定义为", "称为", "用于", "用作", "具有", "含有", "包含", "导致", "影响", "提高", "降低", "采用", "通过", "位于", "连接", "分别为", "证明", "表明")
+ENGLISH_STOP = (
+    "it", "this", "that", "which", "they", "these", "those", "there", "only", "also", "therefore", "the result", "this result", "that result", "the method", "this method", "the process",
+    "this process", "advantage", "disadvantage", "result", "method", "process", "property", "value", "condition",
+)
+ENGLISH_END = ("is", "are", "was", "were", "has", "have", "had", "can", "may", "might", "will", "would", "shall", "should", "could", "must", "only", "also", "therefore", "and", "or", "of", "for", "to")
+ENGLISH_TRIGGERS = (
+    "is defined as", "is known as", "also known as", "consists of", "is composed of", "contains", "comprises", "belongs to", "is classified as", "is used for", "is used as", "serves as",
+    "results in", "leads to", "depends on", "is affected by", "is higher than", "is lower than",
+)
+ENGLISH_BACK = r"^(?:it|this|that|these|those|which|they|there)\b"
+ENGLISH_WORD = r"[A-Za-z][A-Za-z0-9'/-]*"
+SENTENCE_SIGN = r"[。；;!?！？]"
+NO_LETTER = r"^[^\p{L}]+$"
+SUBJECT_RIM = " ，,。.；;：:\t\r\n"
+
+
+def _first(checks: Iterable[tuple[str, Column]]) -> Column:
+    out = None
+    for name, holds in checks:
+        out = F.when(holds, F.lit(name)) if out is None else out.when(holds, F.lit(name))
+    return out.otherwise("ok")
+
+
+def subject_fault(subject: Column, language: Column) -> Column:
+    """'ok' for a name that can be the subject of a fact, else the first reason why not; by the rules of its language ('zh', 'en', or
+    'mixed', to which both apply)."""
+    trimmed = F.btrim(F.regexp_replace(F.coalesce(subject, F.lit("")), r"(?U)\s+", " "), F.lit(SUBJECT_RIM))
+    any_of = lambda value, words: F.lit(False) if not words else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(value, w))
+
+    def chinese(value: Column) -> Column:
+        return _first((
+            ("subject_too_short", F.length(value) < 2),
+            ("subject_too_long", F.length(value) > 80),
+            ("subject_stopword", value.isin(*CHINESE_STOP)),
+            ("subject_bad_suffix", value.rlike(f"(?:{'|'.join(CHINESE_END)})$")),
+            ("subject_contains_sentence_boundary", value.rlike(SENTENCE_SIGN)),
+            ("subject_contains_relation_trigger", any_of(value, CHINESE_TRIGGERS)),
+            ("subject_deictic_clause", F.contains(value, F.lit("上述")) & (F.length(value) > 10)),
+            ("subject_numeric_or_symbol", value.rlike(NO_LETTER)),
+            ("subject_clause_like", F.regexp_count(value, F.lit("[,，:：]")) >= 2),
+        ))
+
+    def english(value: Column) -> Column:
+        lower = F.lower(value)
+        words = F.regexp_extract_all(value, F.lit(f"({ENGLISH_WORD})"), F.lit(1))
+        return _first((
+            ("subject_too_short", F.length(value) < 2),
+            ("subject_too_long", F.length(value) > 140),
+            ("subject_stopword", lower.isin(*ENGLISH_STOP) | lower.rlike(ENGLISH_BACK)),
+            ("subject_contains_sentence_boundary", value.rlike(SENTENCE_SIGN)),
+            ("subject_numeric_or_symbol", (F.size(words) == 0) & value.rlike(NO_LETTER)),
+            ("subject_clause_like", F.size(words) > 18),
+            ("subject_bad_suffix", F.coalesce(F.lower(F.try_element_at(words, F.lit(-1))).isin(*ENGLISH_END), F.lit(False))),
+            ("subject_contains_relation_trigger", any_of(lower, ENGLISH_TRIGGERS)),
+            ("subject_clause_like", F.regexp_count(value, F.lit("[,;:]")) >= 2),
+        ))
+
+    def judged(value: Column) -> Column:
+        foreign = english(value)
+        return F.when(language == "zh", chinese(value)).when(foreign != "ok", foreign).when((language == "mixed") & any_of(value, CHINESE_TRIGGERS), "subject_contains_relation_trigger").otherwise("ok")
+
+    return let(trimmed, judged)
+
+
+def table_anomalies(rows: DataFrame, table: list[str], anonymous: str) -> DataFrame:
+    """The table keys, n_rows, n_risks, n_doubled and the sorted reasons of tables that cannot be trusted as a whole.
+
+    rows: the table keys, subject, prop, row_no, value, condition, risk (true for a row with a fault of its own). A value that one row
+    states of several properties is doubled; samples without a name (by the pattern) that differ without a condition that tells them
+    apart are a reason of their own. Three levels of partial aggregation on keys that begin with the table; no window and no row
+    list, so that a table with a third of all rows is reduced before it is shuffled.
+    """
+    blank = F.coalesce(F.col("condition"), F.lit("")) == ""
+    doubled = (
+        rows.where("value <> ''").groupBy(*table, "subject", "row_no", "value").agg(F.count_distinct("prop").alias("n_props")).where("n_props >= 2").groupBy(*table).agg(F.count("*").alias("n_doubled"))
+    )
+    measured = rows.where(F.col("subject").rlike(anonymous)).groupBy(*table, "subject", "prop").agg(
+        F.count("*").alias("n"), F.count_distinct(F.nullif(F.col("value"), F.lit(""))).alias("n_values"), F.count_distinct(F.coalesce("condition", F.lit(""))).alias("n_conditions"), F.bool_or(blank).alias("any_blank")
+    )
+    unnamed = measured.where("n >= 2 and n_values >= 2 and (n_conditions < n or any_blank)").select(*table).distinct().withColumn("unnamed", F.lit(True))
+    counted = rows.groupBy(*table).agg(F.count("*").alias("n_rows"), F.count_if("risk").alias("own"))
+    joined = counted.join(doubled, table, "left").join(unnamed, table, "left").withColumn("n_doubled", F.coalesce("n_doubled", F.lit(0)))
+    risks = F.col("own") + F.when(F.col("n_doubled") >= 2, F.col("n_doubled")).otherwise(0)
+    marked = joined.withColumn("n_risks", risks)
+    misaligned = ((F.col("n_rows") >= 4) & (F.col("n_risks") >= F.greatest(F.lit(3), F.floor(F.col("n_rows") * 0.25 + 0.999)))) | (
+        (F.col("n_rows") >= 2) & (F.col("n_risks") >= 2) & (F.col("n_risks") / F.col("n_rows") >= 0.5)
+    )
+    found = reasons({
+        "table_column_alignment_anomaly": misaligned,
+        "same_value_projected_to_multiple_properties": misaligned & (F.col("n_doubled") >= 2),
+        "anonymous_sample_without_distinguishing_conditions": F.coalesce(F.col("unnamed"), F.lit(False)),
+    })
+    return marked.select(*table, "n_rows", "n_risks", "n_doubled", found.alias("reasons")).where("size(reasons) > 0")
+
+
+def mass_conflicts(rows: DataFrame, keys: list[str], formula_properties: Iterable[str], mass_properties: Iterable[str]) -> DataFrame:
+    """The keys of table rows whose stated molar mass is not that of the formula beside it (by more than 2 and more than 2.5 %), with
+    both. rows: the keys, prop, value. Rows without a readable formula or mass give none."""
+    of = lambda names: F.min(F.when(F.col("prop").isin(*names), F.col("value")))
+    sides = rows.groupBy(*keys).agg(of(list(formula_properties)).alias("formula"), of(list(mass_properties)).alias("stated_"))
+    number = F.regexp_extract("stated_", r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")
+    weighed = sides.where("formula is not null and stated_ is not null").withColumns({"mass": molar_mass_of("formula"), "stated": number})
+    return weighed.where(~F.isnan("mass") & (F.abs(F.col("mass") - F.col("stated")) > F.greatest(F.lit(2.0), F.col("stated") * 0.025))).select(*keys, "formula", F.round("mass", 3).alias("mass"), "stated")

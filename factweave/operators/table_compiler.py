@@ -11,7 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 from statistics import mean
 
 from pyspark.sql import DataFrame
@@ -46,16 +46,19 @@ _UNIT = re.compile(r"[（(]\s*([^（）()]*(?:\([^()]*\))?[^（）()]*)\s*[)）]
 _GENERIC = ("数值", "值", "结果", "数据", "单位", "备注")
 
 
+@lru_cache(maxsize=65536)
 def _folded(text: str) -> str:
     return re.sub(r"\s+", "", text.lower()).replace("（", "(").replace("）", ")")
 
 
-def holds(label: str, words: Sequence[str]) -> bool:
-    """True if a label holds one of the words, marks set aside."""
+@lru_cache(maxsize=65536)
+def holds(label: str, words: tuple[str, ...]) -> bool:
+    """True if a label holds one of the words, marks set aside; labels come again in many tables."""
     bare = re.sub(r"[/()\[\]{}%‰·:_\-]+", "", _folded(label))
     return bool(bare) and any(_folded(w) in bare for w in words)
 
 
+@lru_cache(maxsize=65536)
 def is_number(text: str) -> bool:
     value = re.sub(r"\s+", "", text)
     return bool(value) and bool(_NUMBER.fullmatch(value) or len(value) <= 40 and _SPAN.search(value) or len(value) <= 28 and _BEGINS.match(value) and not re.search(r"[一-鿿]{2}", value))
@@ -66,6 +69,7 @@ def is_code(text: str) -> bool:
     return 0 < len(value) <= 32 and bool(_FORMULA.fullmatch(value) or _CODE.fullmatch(value))
 
 
+@lru_cache(maxsize=65536)
 def names_material(text: str) -> bool:
     value = text.strip()
     return 0 < len(value) <= 80 and not is_number(value) and not re.search("[。；;]", value) and (is_code(value) or bool(re.search(r"[^\W\d_]", value)))
@@ -120,7 +124,7 @@ class Table:
     """A grid with what its parts mean; everything is worked out once, when it is asked for."""
 
     cells: list[Cell]
-    words: Mapping[str, Sequence[str]] = field(default_factory=lambda: WORDS)
+    words: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: WORDS)
 
     def __post_init__(self) -> None:
         self.height = 1 + max((c[0] for c in self.cells), default=-1)
@@ -366,12 +370,12 @@ def _decide(axis: Axis, evidence: Sequence[tuple[str, float, bool]], most: float
     return score
 
 
-def _tables(text: str, words: Mapping[str, Sequence[str]]) -> list[tuple[int, Table, str]]:
+def _tables(text: str, words: Mapping[str, tuple[str, ...]]) -> list[tuple[int, Table, str]]:
     marks = headings_of(text)
     return [(n, Table(grid_of(kind, raw), words), next((m[1] for m in reversed(marks) if m[0] < first), "")) for n, (first, _, kind, raw) in enumerate(tables_of(text), 1)]
 
 
-def header_paths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, Sequence[str]] = WORDS) -> DataFrame:
+def header_paths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, tuple[str, ...]] = WORDS) -> DataFrame:
     """id, table_no, axis, index, labels, unit, role, numeric_ratio, unique_ratio, confidence of every column and row of every table."""
 
     def work(text: str) -> list[tuple]:
@@ -385,7 +389,7 @@ def header_paths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _exploder(documents, id_col, text_col, work, "table_no int, axis string, index int, labels array<string>, unit string, role string, numeric_ratio double, unique_ratio double, confidence double")
 
 
-def table_plans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, Sequence[str]] = WORDS) -> DataFrame:
+def table_plans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, tuple[str, ...]] = WORDS) -> DataFrame:
     """id, table_no, topology, orientation, header_rows, row_headers, confidence, unresolved, axes (role -> columns) of every table."""
 
     def work(text: str) -> list[tuple]:
@@ -398,7 +402,7 @@ def table_plans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _exploder(documents, id_col, text_col, work, "table_no int, topology string, orientation string, header_rows int, row_headers int, confidence double, unresolved array<string>, axes map<string,array<int>>")
 
 
-def cell_roles(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, Sequence[str]] = WORDS) -> DataFrame:
+def cell_roles(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, tuple[str, ...]] = WORDS) -> DataFrame:
     """id, table_no, r, c, role, confidence of every cell of every table."""
 
     def work(text: str) -> list[tuple]:
@@ -407,7 +411,7 @@ def cell_roles(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _exploder(documents, id_col, text_col, work, "table_no int, r int, c int, role string, confidence double")
 
 
-def compiled_facts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, Sequence[str]] = WORDS, subject_of_heading: Callable[[str], str] | None = None) -> DataFrame:
+def compiled_facts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Mapping[str, tuple[str, ...]] = WORDS, subject_of_heading: Callable[[str], str] | None = None) -> DataFrame:
     """The facts of every table: id, table_no, r, c, subject, subject_source, sample_id, property, unit, value_text, value_role, conditions,
     method, confidence, status, reasons.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factweave.functions import text as T
 from factweave.functions.values import QUOTIENTS
 from factweave.operators import facts as K
 from factweave.operators import gates as Q
 from factweave.operators import table_compiler as C
-from factweave.plans.core_queries import FACTS, facts, query
+from factweave.plans.core_queries import COUNTED, FACTS, LANGUAGE, VISIBLE, facts, query
 from factweave.plans.problem_queries import reference_names
 from factweave.session import table
 
@@ -346,3 +347,77 @@ def table_header_paths(spark: SparkSession, d: str) -> DataFrame:
 def table_cell_roles(spark: SparkSession, d: str) -> DataFrame:
     """How many cells of each role every table has."""
     return C.cell_roles(table(spark, d, "documents"), words=_words(spark, d)).groupBy("doc_id", "table_no", "role").agg(F.count("*").alias("n"))
+
+
+# --- subjects and whole tables ------------------------------------------------------------------------------------------
+
+
+def _words_in(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_SUBJECTS = f"""
+    WITH d AS (SELECT "主体名称" AS subject, count(*) AS n FROM {FACTS} GROUP BY 1),
+    c AS ({COUNTED} FROM (SELECT *, {VISIBLE.format("coalesce(subject, '')")} AS v FROM d)),
+    l AS (SELECT subject, n, {LANGUAGE} AS language, trim(regexp_replace(coalesce(subject, ''), '{WHITE}+', ' ', 'g'), E' ，,。.；;：:\\t\\r\\n') AS t FROM c),
+    w AS (SELECT *, lower(t) AS lo, regexp_extract_all(t, '{Q.ENGLISH_WORD.replace(chr(39), chr(39) * 2)}') AS words FROM l),
+    e AS (SELECT *,
+      CASE WHEN length(t) < 2 THEN 'subject_too_short' WHEN length(t) > 80 THEN 'subject_too_long' WHEN {_in('t', Q.CHINESE_STOP)} THEN 'subject_stopword'
+           WHEN regexp_matches(t, '(?:{"|".join(Q.CHINESE_END)})$') THEN 'subject_bad_suffix' WHEN {_has('t', Q.SENTENCE_SIGN)} THEN 'subject_contains_sentence_boundary'
+           WHEN {_words_in('t', Q.CHINESE_TRIGGERS)} THEN 'subject_contains_relation_trigger' WHEN contains(t, '上述') AND length(t) > 10 THEN 'subject_deictic_clause'
+           WHEN {_has('t', Q.NO_LETTER)} THEN 'subject_numeric_or_symbol' WHEN len(regexp_extract_all(t, '[,，:：]')) >= 2 THEN 'subject_clause_like' ELSE 'ok' END AS zh,
+      CASE WHEN length(t) < 2 THEN 'subject_too_short' WHEN length(t) > 140 THEN 'subject_too_long' WHEN {_in('lo', Q.ENGLISH_STOP)} OR {_has('lo', Q.ENGLISH_BACK)} THEN 'subject_stopword'
+           WHEN {_has('t', Q.SENTENCE_SIGN)} THEN 'subject_contains_sentence_boundary' WHEN len(words) = 0 AND {_has('t', Q.NO_LETTER)} THEN 'subject_numeric_or_symbol'
+           WHEN len(words) > 18 THEN 'subject_clause_like' WHEN {_in("lower(words[-1])", Q.ENGLISH_END)} THEN 'subject_bad_suffix'
+           WHEN {_words_in('lo', Q.ENGLISH_TRIGGERS)} THEN 'subject_contains_relation_trigger' WHEN len(regexp_extract_all(t, '[,;:]')) >= 2 THEN 'subject_clause_like' ELSE 'ok' END AS en FROM w)"""
+
+
+@query(
+    f"""
+    {_SUBJECTS}
+    SELECT subject, CASE WHEN language = 'zh' THEN zh WHEN en <> 'ok' THEN en WHEN language = 'mixed' AND {_words_in('t', Q.CHINESE_TRIGGERS)} THEN 'subject_contains_relation_trigger' ELSE 'ok' END AS fault, n FROM e
+    """
+)
+def subject_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every name can be the subject of a fact; each name is judged once."""
+    names = facts(spark, d, "subject").groupBy("subject").agg(F.count("*").alias("n"))
+    return names.select("subject", Q.subject_fault(F.col("subject"), T.language(F.col("subject"))).alias("fault"), "n")
+
+
+ANONYMOUS = r"^(?:某|一种|若干|不同|试样|对照组|批次|复测样)"
+
+
+@query(
+    f"""
+    WITH r AS (SELECT f."文档ID" AS book, "所属表格ID" AS t, x.s AS subject, x.p AS prop, regexp_extract(coalesce("来源定位", ''), '(?:^|;)R([0-9]+)(?:;|$)', 1) AS row_no, x.cv AS value, coalesce("条件文本", '') AS condition, len(x.faults) > 0 AS risk
+               FROM {FACTS} f JOIN ({_FAULTS}) x ON f.row_id = x.row_id WHERE "来源类型" = 'table_conditional_record' AND coalesce("所属表格ID", '') <> '' AND "文档ID" IS NOT NULL),
+    d AS (SELECT book, t, count(*) AS n_doubled FROM (SELECT book, t FROM r WHERE value <> '' GROUP BY book, t, subject, row_no, value HAVING count(DISTINCT prop) >= 2) GROUP BY book, t),
+    m AS (SELECT DISTINCT book, t FROM (SELECT book, t, count(*) AS n, count(DISTINCT nullif(value, '')) AS v, count(DISTINCT condition) AS c, bool_or(condition = '') AS b FROM r WHERE {_has('subject', ANONYMOUS)} GROUP BY book, t, subject, prop)
+          WHERE n >= 2 AND v >= 2 AND (c < n OR b)),
+    c AS (SELECT r.book, r.t, count(*) AS n_rows, count(*) FILTER (WHERE risk) AS own, coalesce(any_value(d.n_doubled), 0) AS n_doubled, bool_or(m.book IS NOT NULL) AS unnamed
+          FROM r LEFT JOIN d ON r.book = d.book AND r.t = d.t LEFT JOIN m ON r.book = m.book AND r.t = m.t GROUP BY r.book, r.t),
+    k AS (SELECT *, own + CASE WHEN n_doubled >= 2 THEN n_doubled ELSE 0 END AS n_risks FROM c),
+    a AS (SELECT *, (n_rows >= 4 AND n_risks >= greatest(3, floor(n_rows * 0.25 + 0.999))) OR (n_rows >= 2 AND n_risks >= 2 AND n_risks / n_rows >= 0.5) AS bad FROM k)
+    SELECT book, t AS table_id, n_rows, n_risks, n_doubled, array_to_string(list_filter([CASE WHEN unnamed THEN 'anonymous_sample_without_distinguishing_conditions' END,
+           CASE WHEN bad AND n_doubled >= 2 THEN 'same_value_projected_to_multiple_properties' END, CASE WHEN bad THEN 'table_column_alignment_anomaly' END], lambda x: x IS NOT NULL), '|') AS reasons
+    FROM a WHERE unnamed OR bad
+    """
+)
+def table_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that cannot be trusted as a whole."""
+    rows = facts(spark, d, "book", "table_id", "subject", "attribute", "predicate_raw", "value_text", "evidence", "source", "locator", "condition")
+    prop = Q.property_of(F.col("attribute"), F.col("predicate_raw"))
+    faults = Q.surface_faults(F.col("subject"), prop, F.col("value_text"), F.col("evidence"), F.col("source"))
+    parts = rows.where("source = 'table_conditional_record' and coalesce(table_id, '') <> '' and book is not null").select(
+        "book", "table_id", Q.stripped(F.col("subject")).alias("subject"), prop.alias("prop"), F.regexp_extract(F.coalesce("locator", F.lit("")), "(?:^|;)R([0-9]+)(?:;|$)", 1).alias("row_no"),
+        Q.squeezed(F.col("value_text")).alias("value"), F.coalesce("condition", F.lit("")).alias("condition"), (F.size(faults) > 0).alias("risk"),
+    )
+    return Q.table_anomalies(parts, ["book", "table_id"], ANONYMOUS).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query()
+def mass_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Table rows whose molar mass is not that of their formula."""
+    rows = facts(spark, d, "book", "table_id", "attribute", "predicate_raw", "value_text", "source", "locator").where("source = 'table_conditional_record'")
+    parts = rows.select("book", "table_id", F.regexp_extract(F.coalesce("locator", F.lit("")), "(?:^|;)R([0-9]+)(?:;|$)", 1).alias("row_no"), Q.property_of(F.col("attribute"), F.col("predicate_raw")).alias("prop"), F.col("value_text").alias("value"))
+    return Q.mass_conflicts(parts, ["book", "table_id", "row_no"], ("分子式", "化学式", "经验式", "假定分子式", "理论分子式"), ("相对分子质量", "分子量", "摩尔质量"))
