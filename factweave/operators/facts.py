@@ -22,7 +22,7 @@ def semantic_key(subject: Column, prop: Column, value: Column, unit: Column, con
     return F.concat_ws("|", compact(subject), compact(prop), value, compact(unit), compact(condition))
 
 
-def keep_best(rows: DataFrame, keys: list[str], order: list[Column], kept_id: str | None = None, id_col: str | None = None) -> DataFrame:
+def keep_best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Arg-max per key: the first row by `order` stays. The rows that go are not compared pairwise but counted: n_dropped.
 
     With partial aggregation, so that a key with very many rows is reduced before it is shuffled; order must end in a unique
@@ -34,7 +34,7 @@ def keep_best(rows: DataFrame, keys: list[str], order: list[Column], kept_id: st
 
 
 def conflicts(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Keys with more than one distinct value: the keys, n_values, n_rows, values_hash (of the sorted distinct values)."""
+    """Keys with more than one distinct value: the keys, n_values, n_rows."""
     return (
         rows.groupBy(*keys)
         .agg(F.count_distinct(value).alias("n_values"), F.count("*").alias("n_rows"))

@@ -421,3 +421,48 @@ def mass_conflicts(spark: SparkSession, d: str) -> DataFrame:
     rows = facts(spark, d, "book", "table_id", "attribute", "predicate_raw", "value_text", "source", "locator").where("source = 'table_conditional_record'")
     parts = rows.select("book", "table_id", F.regexp_extract(F.coalesce("locator", F.lit("")), "(?:^|;)R([0-9]+)(?:;|$)", 1).alias("row_no"), Q.property_of(F.col("attribute"), F.col("predicate_raw")).alias("prop"), F.col("value_text").alias("value"))
     return Q.mass_conflicts(parts, ["book", "table_id", "row_no"], ("分子式", "化学式", "经验式", "假定分子式", "理论分子式"), ("相对分子质量", "分子量", "摩尔质量"))
+
+
+# --- keys of facts ------------------------------------------------------------------------------------------------------
+
+_DECIMAL = "CASE WHEN {0} = '' THEN '' WHEN try_cast(replace({0}, ',', '.') AS DECIMAL(38,12)) IS NOT NULL THEN regexp_replace(regexp_replace(CAST(try_cast(replace({0}, ',', '.') AS DECIMAL(38,12)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') ELSE lower(" + _squeeze("{0}") .replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}") + ") END"
+
+
+def _plain(column: str) -> str:
+    return "lower(" + _squeeze(f"translate(coalesce({column}, ''), '−–—', '---')") + ")"
+
+
+def _number(column: str) -> str:
+    return _DECIMAL.format(f"trim(coalesce({column}, ''))")
+
+
+@query(
+    f"""
+    WITH k AS (SELECT {_plain('"主体名称"')} AS s, {_plain('attribute_name')} AS p, {_number('"数值"')} AS n, {_number('"范围下限"')} AS a, {_number('"范围上限"')} AS b, {_plain('"尾实体/取值文本"')} AS t, {_plain('"单位"')} AS u, {_plain('"条件文本"')} AS c FROM {FACTS})
+    SELECT s || '|' || p || '|' || (CASE WHEN n <> '' THEN 'num:' || n WHEN a <> '' OR b <> '' THEN 'range:' || a || '~' || b ELSE 'text:' || t END) || '|' || u || '|' || c AS semantic_key, count(*) AS n_rows
+    FROM k GROUP BY 1 HAVING count(*) > 1
+    """
+)
+def semantic_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that say the same: subject, property, value, unit and condition in their canonical form."""
+    rows = facts(spark, d, "subject", "attribute", "number", "lower", "upper", "value_text", "unit", "condition")
+    value = K.semantic_value(F.col("number"), F.col("lower"), F.col("upper"), F.col("value_text"))
+    key = K.semantic_key(F.col("subject"), F.col("attribute"), value, F.col("unit"), F.col("condition"))
+    return rows.groupBy(key.alias("semantic_key")).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+
+
+@query(
+    """
+    WITH r AS (SELECT lower(trim(graph_fact_key, ' ')) AS k, concat_ws('|', lower(trim(coalesce("主体名称", ''), ' ')), lower(trim(coalesce(attribute_name, ''), ' ')), lower(trim(coalesce("尾实体/取值文本", ''), ' ')), lower(trim(coalesce("单位", ''), ' ')), lower(trim(coalesce("条件文本", ''), ' '))) AS s
+               FROM graph_import_ready_generalized WHERE trim(coalesce(graph_fact_key, ''), ' ') <> '')
+    SELECT k AS graph_key, left(sha256(k), 24) AS conflict_group, count(DISTINCT s) AS n_signatures, count(*) AS n_rows FROM r GROUP BY k HAVING count(DISTINCT s) > 1
+    """
+)
+def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Graph keys whose rows say different things, with the id of their conflict group: five fields make the signature."""
+    folded = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    rows = facts(spark, d, "graph_fact_key", "subject", "attribute", "value_text", "unit", "condition")
+    signed = rows.select(folded("graph_fact_key").alias("graph_key"), F.concat_ws("|", *[folded(c) for c in ("subject", "attribute", "value_text", "unit", "condition")]).alias("s")).where("graph_key <> ''")
+    once = signed.groupBy("graph_key", "s").agg(F.count("*").alias("n"))
+    found = once.groupBy("graph_key").agg(F.count("*").alias("n_signatures"), F.sum("n").alias("n_rows")).where("n_signatures > 1")
+    return found.select("graph_key", F.substring(F.sha2("graph_key", 256), 1, 24).alias("conflict_group"), "n_signatures", "n_rows")
