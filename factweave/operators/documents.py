@@ -19,7 +19,11 @@ _CHAPTER = re.compile(r"^第\s*[一二三四五六七八九十百零〇\d]+\s*
 _DOTTED = re.compile(r"^(\d+(?:\s*[.．]\s*\d+){0,5})(?=\s|[、．.]|$)")
 _BRACKETED = re.compile(r"^[（(]?[一二三四五六七八九十\d]+[)）、]")
 # Headings whose sections hold no facts.
-NOISE_TITLES = frozenset(("目录", "contents", "前言", "序言", "序", "参考文献", "文献", "索引", "思考题", "附录", "版权页", "致读者", "感谢", "符号含义"))
+NOISE_TITLES = frozenset((
+    "目录", "目 录", "contents", "content", "前言", "序", "序言", "译者前言", "原书前言",
+    "作者", "原书主编及作者", "图书在版编目", "版权页", "致读者", "感谢", "符号含义",
+    "参考文献", "文献", "索引", "思考题", "附录", "推荐阅读书目",
+))
 _SEPARATOR = re.compile(r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$")
 _HTML_TABLE = re.compile(r"<table\b.*?</table\s*>", re.I | re.S)
 _ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr\s*>", re.I | re.S)

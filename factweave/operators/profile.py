@@ -12,26 +12,31 @@ from factweave.operators.documents import _exploder, headings_of, tables_of
 
 # Words of a heading that tell the role of its blocks, tried in this order, with the confidence each gives.
 ROLES = (
-    ("device_system", 0.88, "设备|装置|仪器"),
-    ("formulation", 0.84, "配方|体系|共混"),
-    ("process", 0.84, "制备|合成|加工|工艺|混合|干燥|固化|Processing"),
-    ("experiment", 0.82, "试验|实验|测试|测定|表征|Test"),
-    ("method_model", 0.85, "模型|仿真|模拟|计算|算法"),
-    ("application_safety", 0.82, "安全|毒性|防护|贮存|储存|运输|危险|Storage"),
-    ("comparison", 0.76, "比较|对比|差异|影响|关系"),
-    ("property", 0.80, "性质|性能|力学|热|老化|Basic|Thermal|Mechanical|Ageing"),
-    ("theory", 0.84, "原理|机理|理论|定义|分类|概述"),
+    ("device_system", 0.88, "火帽|底火|雷管|点火具|导爆索|导火索|延期元件|火工品|起爆器|点火器|装置"),
+    ("formulation", 0.84, "配方|体系|推进剂|混合炸药|延期药|点火药|传爆药"),
+    ("process", 0.84, "制备|合成|加工|工艺|结晶|粉碎|混合|包覆|微胶囊|干燥|固化|聚合|装配|装压药"),
+    ("experiment", 0.82, "试验|实验|测试|测定|检验|表征|分析方法|仪器"),
+    ("method_model", 0.85, "模型|仿真|模拟|计算方法|专家系统|算法|有限元|数据库|知识库"),
+    ("application_safety", 0.82, "安全|毒性|防护|储存|运输|危险|消防|泄漏|废弃|相容性|安定性"),
+    ("comparison", 0.76, "比较|对比|差异|影响|关系|变化规律"),
+    ("property", 0.80, "物理性质|化学性质|理化性质|性能|密度|熔点|爆速|燃速|比冲|感度|流变|力学"),
+    ("theory", 0.84, "原理|机理|理论|定义|概念|分类|基本条件|发展史|一般特征|导论|概述"),
 )
-IDENTITY = "(?:中文名称|英文名称|CAS(?:登记号)?|分子式|分子量)\\s*[：:]"
+# Fields that identify a material, and the confidence they give behind the words of the heading.
+IDENTITY = "(?:中文名称|英文名称|CAS(?:登记号)?|分子式|化学式|分子量|相对分子质量)\\s*[：:]"
+IDENTITY_CONFIDENCE = 0.82
 CAPTION = r"^\s*(?:表|Table)\s*\d+"
 
 
-def block_role(path: Column, block: Column) -> Column:
-    """struct<role, confidence>: identity fields first, then the words of the last heading, then unknown."""
+def block_role(path: Column, block: Column, roles: tuple[tuple[str, float, str], ...] = ROLES) -> Column:
+    """struct<role, confidence>: devices and formulations by the words of the last heading, then identity fields in the block, then the
+    other words, then unknown. roles: other words for other books."""
     title = F.coalesce(F.try_element_at(F.split(path, " > "), F.lit(-1)), F.lit(""))
-    role, confidence = F.when(block.rlike(IDENTITY), "material_profile"), F.when(block.rlike(IDENTITY), 0.82)
-    for name, value, words in ROLES:
-        role, confidence = role.when(title.rlike(words), name), confidence.when(title.rlike(words), value)
+    tests = [(name, value, title.rlike(words)) for name, value, words in roles]
+    tests.insert(2, ("material_profile", IDENTITY_CONFIDENCE, F.coalesce(block, F.lit("")).rlike(IDENTITY)))
+    role, confidence = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
+    for name, value, holds in tests:
+        role, confidence = role.when(holds, name), confidence.when(holds, value)
     return F.struct(role.otherwise("unknown").alias("role"), confidence.otherwise(0.40).alias("confidence"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.functions.values import QUOTIENTS
+from factweave.operators import documents as D
 from factweave.operators import facts as K
 from factweave.operators import gates as Q
 from factweave.operators import table_compiler as C
@@ -466,3 +467,52 @@ def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
     once = signed.groupBy("graph_key", "s").agg(F.count("*").alias("n"))
     found = once.groupBy("graph_key").agg(F.count("*").alias("n_signatures"), F.sum("n").alias("n_rows")).where("n_signatures > 1")
     return found.select("graph_key", F.substring(F.sha2("graph_key", 256), 1, 24).alias("conflict_group"), "n_signatures", "n_rows")
+
+
+# --- structure of documents against SQL over lines ----------------------------------------------------------------------
+
+
+@query(
+    f"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text <> ''),
+    h AS (SELECT doc_id, n, length(regexp_extract(line, '^(#{{1,6}})', 1)) AS marks, regexp_replace(regexp_extract(line, '^#{{1,6}}{WHITE}*(.*?){WHITE}*#*{WHITE}*$', 1), '{WHITE}+', ' ', 'g') AS title FROM l WHERE starts_with(line, '#')),
+    d AS (SELECT *, regexp_extract(title, '^([0-9]+(?: *[.．] *[0-9]+){{0,5}})(?: |[、．.]|$)', 1) AS dotted FROM h WHERE title <> '')
+    SELECT doc_id, n AS line, title, CASE WHEN regexp_matches(title, '^第 *[一二三四五六七八九十百零〇0-9]+ *章') THEN 1
+             WHEN dotted <> '' THEN least(6, len(regexp_extract_all(dotted, '[.．]')) + 2)
+             WHEN regexp_matches(title, '^[（(]?[一二三四五六七八九十0-9]+[)）、]') THEN least(6, marks + 1) ELSE marks END AS level
+    FROM d
+    """
+)
+def heading_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every heading with its logical level, as SQL finds it line by line."""
+    return D.headings(table(spark, d, "documents")).select("doc_id", F.col("line").cast("bigint").alias("line"), "title", F.col("level").cast("bigint").alias("level"))
+
+
+@query(
+    f"""
+    {_PIPE_ROWS},
+    p AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id),
+    g AS (SELECT doc_id, len(regexp_extract_all(text, '(?is)<table\\b.*?</table\\s*>')) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT g.doc_id, g.n AS n_html, coalesce(p.n, 0) AS n_pipe FROM g LEFT JOIN p ON g.doc_id = p.doc_id WHERE g.n + coalesce(p.n, 0) > 0
+    """
+)
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    """HTML and pipe tables of every document."""
+    found = D.tables(table(spark, d, "documents"))
+    return found.groupBy("doc_id").agg(F.count_if(F.col("kind") == "html").alias("n_html"), F.count_if(F.col("kind") == "pipe").alias("n_pipe"))
+
+
+@query(
+    f"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?is)<table\\b.*?</table\\s*>')) AS raw FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, unnest(regexp_extract_all(raw, '(?is)<tr\\b[^>]*>(.*?)</tr\\s*>', 1)) AS row_ FROM t),
+    c AS (SELECT doc_id, unnest(regexp_extract_all(row_, '(?is)<t[hd]\\b[^>]*>.*?</t[hd]\\s*>')) AS cell FROM r),
+    x AS (SELECT doc_id, starts_with(lower(cell), '<th') AS header, trim(regexp_replace(html_, '{WHITE}+', ' ', 'g'), ' ') AS cell
+          FROM (SELECT doc_id, cell, replace(replace(replace(replace(replace(regexp_replace(cell, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') AS html_ FROM c))
+    SELECT doc_id, header, cell, count(*) AS n FROM x WHERE cell <> '' GROUP BY ALL
+    """
+)
+def html_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of HTML tables that hold a text, spans counted once."""
+    only = table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"(?is)(<table\b.*?</table\s*>)"), F.lit(1)), "\n\n").alias("text"))
+    return D.cells(only).where("not copied and cell <> ''").groupBy("doc_id", "header", "cell").agg(F.count("*").alias("n"))
