@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.values import let
@@ -26,25 +26,43 @@ def count_of(column: Column, pattern: str) -> Column:
     return F.regexp_count(column, F.lit(pattern))
 
 
+def _seen(column: Column) -> Column:
+    """The visible text; most texts hold nothing to take out."""
+    written = F.coalesce(column, F.lit(""))
+    return F.when(written.rlike(MARKUP), visible_text(column)).otherwise(written)
+
+
+def _letters(text: Column) -> tuple[Column, Column]:
+    """(Han characters, Latin letters) of a text."""
+    latin = "".join(map(chr, (*range(65, 91), *range(97, 123))))
+    return F.length(F.regexp_replace(text, NOT_CJK, "")), F.length(text) - F.length(F.translate(text, latin, ""))
+
+
+def _chosen(text: Column, cjk: Column, latin: Column) -> Column:
+    total = F.greatest(cjk + latin, F.lit(1))
+    # few texts hold enough Latin letters to ask for their words
+    worded = F.when(latin >= 12, count_of(text, ENGLISH_WORD) >= 3).otherwise(False)
+    mixed = (cjk >= 2) & (cjk / total >= 0.04) & (latin / total >= 0.12)
+    return F.when(~worded, "zh").when(mixed, "mixed").when(latin / total >= 0.72, "en").otherwise("zh")
+
+
 def language(column: Column) -> Column:
     """'zh', 'en' or 'mixed' by the letters of both scripts in the visible text; text without letters counts as 'zh'."""
-    written = F.coalesce(column, F.lit(""))
-    # most texts hold nothing to take out, and few enough Latin letters to ask for words
-    visible = F.when(written.rlike(MARKUP), visible_text(column)).otherwise(written)
-    letters = "".join(map(chr, (*range(65, 91), *range(97, 123))))
 
     def decided(text: Column) -> Column:
-        cjk = F.length(F.regexp_replace(text, NOT_CJK, ""))
-        latin = F.length(text) - F.length(F.translate(text, letters, ""))
-        return let(F.struct(cjk.alias("cjk"), latin.alias("latin")), lambda n: chosen(text, n["cjk"], n["latin"]))
+        cjk, latin = _letters(text)
+        return let(F.struct(cjk.alias("cjk"), latin.alias("latin")), lambda n: _chosen(text, n["cjk"], n["latin"]))
+
+    return let(_seen(column), decided)
 
-    def chosen(text: Column, cjk: Column, latin: Column) -> Column:
-        total = F.greatest(cjk + latin, F.lit(1))
-        worded = (latin >= 12) & (count_of(text, ENGLISH_WORD) >= 3)
-        mixed = (cjk >= 2) & (cjk / total >= 0.04) & (latin / total >= 0.12)
-        return F.when(~worded, "zh").when(mixed, "mixed").when(latin / total >= 0.72, "en").otherwise("zh")
 
-    return let(visible, decided)
+def with_language(rows: DataFrame, column: str, name: str = "language") -> DataFrame:
+    """The rows with the language of a column, by projections one above the other, so that all of it is generated code and nothing in it is
+    computed twice; for many short texts."""
+    seen = rows.withColumn("seen_", _seen(F.col(column)))
+    cjk, latin = _letters(F.col("seen_"))
+    counted = seen.withColumns({"cjk_": cjk, "latin_": latin})
+    return counted.withColumn(name, _chosen(F.col("seen_"), F.col("cjk_"), F.col("latin_"))).drop("seen_", "cjk_", "latin_")
 
 
 def clauses(column: Column) -> Column:

@@ -73,7 +73,7 @@ def clause_release_profile(spark: SparkSession, d: str) -> DataFrame:
     rows = X.clause_rows(table(spark, d, "documents"))
     short, number = F.length("clause") < 8, F.col("clause").rlike("[0-9]")
     action = F.when(short, "rejected").when(number, "release").otherwise("candidate")
-    return rows.groupBy(T.language(F.col("clause")).alias("language"), action.alias("action")).agg(F.count("*").alias("n_clauses"))
+    return T.with_language(rows, "clause").groupBy("language", action.alias("action")).agg(F.count("*").alias("n_clauses"))
 
 
 @query(f"WITH l AS ({COUNTED} FROM (SELECT doc_id, {VISIBLE.format('coalesce(text, chr(32))')} AS v FROM documents)) SELECT doc_id, {LANGUAGE} AS language FROM l")
